@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import credentials
+from orefield.llm import credentials, encoding, leaks, quality
 from orefield.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,5 +31,52 @@ def p1_missed(spark: SparkSession, d: str) -> DataFrame:
     return found.join(reported, "unit_id", "left").groupBy(F.col("c.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n_found"), F.count_if(~covered).alias("n_missed"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p1_missed": p1_missed}
-SQL: dict[str, str] = {}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode(table(spark, d, "documents"))
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every text again, from its token ids."""
+    return encoding.decode(encoding.encode(table(spark, d, "documents")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked, into how many documents."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "documents"))
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.statistics(table(spark, d, "documents"))
+
+
+_LEAKS = """
+WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+hits AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run))"""
+
+QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
+    "p1_missed": p1_missed,
+    "p7_ids": p7_ids,
+    "p7_decoded": p7_decoded,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
+    "p9_found": p9_found,
+    "p9_statistics": p9_statistics,
+}
+SQL: dict[str, str] = {
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_found": f"{_LEAKS} SELECT doc_id, item_id FROM hits",
+    "p8_items": f"{_LEAKS} SELECT item_id, count(*) AS n_documents FROM hits GROUP BY 1",
+}
