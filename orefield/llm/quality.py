@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that accompany nouns or stand for them in running sentences.
 SENTENCE_WORDS = {
@@ -50,7 +51,7 @@ GRAM = 4
 GRAM_COVER = 0.5
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _gram_cover(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Share of the words of a text that its most frequent n-gram covers, if it occurs at least REPEATED times."""
     for values in lists:
