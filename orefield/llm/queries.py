@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import credentials, encoding, leaks, quality
+from orefield.llm import credentials, encoding, leaks, near, quality
 from orefield.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,15 @@ def p1_missed(spark: SparkSession, d: str) -> DataFrame:
     return found.join(reported, "unit_id", "left").groupBy(F.col("c.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n_found"), F.count_if(~covered).alias("n_missed"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_pairs(table(spark, d, "units"))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every unit with its class of equal texts and the number of similar classes."""
+    return near.near_classes(table(spark, d, "units"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"))
 
@@ -64,10 +73,22 @@ dw AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 11], ' ') AS run FROM (
 iw AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
 hits AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run))"""
 
+_SHINGLES = """
+WITH u AS (SELECT unit_id, list_transform(regexp_extract_all(source, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM units WHERE source IS NOT NULL),
+s AS (SELECT DISTINCT unit_id, array_to_string(w[k : k + 2], ' ') AS shingle FROM (SELECT unit_id, w, unnest(range(1, len(w) - 1)) AS k FROM u)),
+n AS (SELECT unit_id, count(*) AS n, md5(string_agg(shingle, '|' ORDER BY shingle)) AS class FROM s GROUP BY 1),
+c AS (SELECT class, min(unit_id) AS class_id, any_value(n) AS n, count(*) AS n_copies FROM n GROUP BY 1),
+cs AS (SELECT class_id, n, shingle FROM c JOIN s ON s.unit_id = c.class_id),
+p AS (SELECT x.class_id AS a, y.class_id AS b FROM cs x JOIN cs y ON x.shingle = y.shingle AND x.class_id < y.class_id
+  GROUP BY x.class_id, y.class_id, x.n, y.n HAVING count(*) >= 0.7 * (x.n + y.n - count(*)) - 1e-9),
+m AS (SELECT unit_id, class_id, n_copies FROM n JOIN c USING (class))"""
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
     "p1_missed": p1_missed,
+    "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
     "p8_found": p8_found,
@@ -76,6 +97,11 @@ QUERIES: dict[str, Query] = {
     "p9_statistics": p9_statistics,
 }
 SQL: dict[str, str] = {
+    "p3_found": f"""{_SHINGLES}
+SELECT least(x.unit_id, y.unit_id) AS unit_id_a, greatest(x.unit_id, y.unit_id) AS unit_id_b FROM p JOIN m x ON x.class_id = p.a JOIN m y ON y.class_id = p.b
+UNION ALL SELECT x.unit_id, y.unit_id FROM m x JOIN m y ON x.class_id = y.class_id AND x.unit_id < y.unit_id""",
+    "p3_classes": f"""{_SHINGLES}, d AS (SELECT class_id, count(*) AS n_links FROM (SELECT a AS class_id FROM p UNION ALL SELECT b FROM p) GROUP BY 1)
+SELECT m.unit_id, m.class_id, m.n_copies, coalesce(d.n_links, 0) AS n_links FROM m LEFT JOIN d USING (class_id)""",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_found": f"{_LEAKS} SELECT doc_id, item_id FROM hits",
     "p8_items": f"{_LEAKS} SELECT item_id, count(*) AS n_documents FROM hits GROUP BY 1",
