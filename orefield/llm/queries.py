@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import credentials, encoding, leaks, near, quality
+from orefield.llm import credentials, encoding, leaks, near, quality, syntax
 from orefield.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,18 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return near.near_classes(table(spark, d, "units"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken_files(table(spark, d, "source_files"))
+
+
+def p6_faults(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.checked(table(spark, d, "source_files"))
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "source_files"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"))
 
@@ -89,6 +101,9 @@ QUERIES: dict[str, Query] = {
     "p1_missed": p1_missed,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
+    "p6_found": p6_found,
+    "p6_faults": p6_faults,
+    "p6_rates": p6_rates,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
     "p8_found": p8_found,
