@@ -83,10 +83,26 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
 
 
+def _binary(ids: np.ndarray, per_row: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(per_row)]) * ids.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(per_row), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+
+
+def _unbinary(packed: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(b"".join(packed.to_pylist()), kind).astype(np.int32)
+    return ids, pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize
+
+
+def _lists(ids: np.ndarray, per_row: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]), pa.int32()), pa.array(ids, pa.int32()))
+
+
 def encode(documents: DataFrame, id_: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id, ids): the token ids of every text, without special tokens."""
     words = cut(dictionary(documents, text, vocabulary))
     hot_words, hot_at, hot_ids = _hot(words)
+    # Between the stages ids are kept as bytes, two each where the vocabulary allows it.
+    packed = np.dtype(np.uint16 if max(_ranks(vocabulary or vocabulary_file()).values()) < 1 << 16 else np.int32)
     shared = documents.sparkSession.sparkContext.broadcast((hot_words, hot_at, hot_ids))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +116,7 @@ def encode(documents: DataFrame, id_: str = "doc_id", text: str = "text", vocabu
             n_ids = size[code]
             doc = np.repeat(np.arange(len(n_words)), n_words)
             per_doc = np.bincount(doc, weights=n_ids, minlength=len(n_words)).astype(np.int64)
-            out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]), pa.int32()), pa.array(gather(flat_ids, at[code], n_ids)))
+            out = _binary(gather(flat_ids, at[code], n_ids).astype(packed), per_doc)
             cold = np.flatnonzero(code == len(names))
             before = np.cumsum(n_ids) - n_ids - np.repeat(np.cumsum(per_doc) - per_doc, n_words)  # ids of the document before each word
             gaps = pa.StructArray.from_arrays([pa.array(before[cold], pa.int32()), pa.array(cold, pa.int64()), flat.take(pa.array(cold))], names=["at", "nth", "word"])
@@ -110,11 +126,17 @@ def encode(documents: DataFrame, id_: str = "doc_id", text: str = "text", vocabu
 
     id_type = dict(documents.dtypes)[id_]
     rows = documents.select(F.xxhash64(F.col(id_), F.col(text)).alias("row"), F.col(id_).alias("id"), pre_tokens(F.col(text)).alias("words"))
-    placed = rows.mapInArrow(place, f"row bigint, id {id_type}, ids array<int>, gaps array<struct<at:int,nth:bigint,word:string>>")
+    placed = rows.mapInArrow(place, f"row bigint, id {id_type}, ids binary, gaps array<struct<at:int,nth:bigint,word:string>>")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, n = _unbinary(b.column("ids"), packed)
+            yield pa.RecordBatch.from_arrays([b.column("id"), _lists(ids, n)], names=[id_, "ids"])
+
     if words.count() == len(hot_words):
-        return placed.select(F.col("id").alias(id_), "ids")
+        return placed.select("id", "ids").mapInArrow(unpack, f"{id_} {id_type}, ids array<int>")
     placed = cut(placed)
-    whole = placed.where(F.size("gaps") == 0).select(F.col("id").alias(id_), "ids")
+    whole = placed.where(F.size("gaps") == 0).select("id", "ids").mapInArrow(unpack, f"{id_} {id_type}, ids array<int>")
     gapped = placed.where(F.size("gaps") > 0)
     # A row is known by its id and content: equal rows share their pieces, which are kept once.
     cold = gapped.dropDuplicates(["row", "id"]).select("row", F.explode("gaps").alias("gap")).select("row", "gap.*")
@@ -125,7 +147,7 @@ def encode(documents: DataFrame, id_: str = "doc_id", text: str = "text", vocabu
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, n_old = pc.list_flatten(b.column("ids")).to_numpy(zero_copy_only=False), pc.list_value_length(b.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, n_old = _unbinary(b.column("ids"), packed)
             pieces, n_pieces = pc.list_flatten(b.column("pieces")), pc.list_value_length(b.column("pieces")).to_numpy(zero_copy_only=False).astype(np.int64)
             piece = pieces.field("piece")
             n_new = pc.list_value_length(piece).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -134,7 +156,7 @@ def encode(documents: DataFrame, id_: str = "doc_id", text: str = "text", vocabu
             filled = np.insert(ids, np.repeat(where, n_new), pc.list_flatten(piece).to_numpy(zero_copy_only=False))
             of = np.repeat(np.arange(len(n_old)), n_pieces)
             sizes = n_old + np.bincount(of, weights=n_new, minlength=len(n_old)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(filled, pa.int32()))], names=[id_, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), _lists(filled, sizes)], names=[id_, "ids"])
 
     joined = gapped.select("row", "id", "ids").join(pieces, "row").select("id", "ids", "pieces")
     return whole.unionByName(joined.mapInArrow(fill, f"{id_} {id_type}, ids array<int>"))
