@@ -7,7 +7,7 @@
 2. Classes that agree on a band share a shard.  (Distances between unrelated texts are concentrated
    around one value, where the bounds of a vantage-point tree over the whole collection would prune
    next to nothing; the bands make the first cut.  At similarity 0.7 a pair shares no band with
-   probability 0.0014, at 0.75 with 0.0001, at 0.85 with 0.00000002.)
+   probability 0.00015, at 0.75 with 0.000005, at 0.8 with 0.00000005.)
 3. Shards are searched by vantage points.  Up to ``LEAF`` members they are leaves.  Larger ones are
    cut by distance: first from the empty set (that is, by size), then from vantage points chosen in
    the shard, into rings as wide as the search radius; by the triangle inequality a partner lies in
@@ -36,7 +36,7 @@ from orefield.plans.lineage import cut
 
 SHINGLE = 3
 SIMILARITY = 0.7
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 32, 4
 LEAF = 48
 FILTER_BITS = 1 << 24
 PRINT = "struct<a:bigint,b:bigint,c:bigint,d:bigint>"
