@@ -52,8 +52,9 @@ def _ranks(path: str) -> dict[bytes, int]:
 
 
 def dictionary(texts: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(word, n_docs, ids): every distinct pre-token of the corpus, encoded once."""
+    """(word, n_docs, ids): every distinct pre-token of the corpus, encoded once; ids as bytes."""
     path = vocabulary or vocabulary_file()
+    packed = _id_type(path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -61,18 +62,22 @@ def dictionary(texts: DataFrame, text: str = "text", vocabulary: str | None = No
         bpe = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=_ranks(path), special_tokens={})
         for b in batches:
             ids = bpe.encode_ordinary_batch(b.column("word").to_pylist(), num_threads=1)
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n_docs"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n_docs", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n_docs"), pa.array([np.array(i, packed).tobytes() for i in ids], pa.binary())], names=["word", "n_docs", "ids"])
 
     words = texts.select(F.explode(F.array_distinct(pre_tokens(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
-    return words.mapInArrow(encode, "word string, n_docs bigint, ids array<int>")
+    return words.mapInArrow(encode, "word string, n_docs bigint, ids binary")
 
 
-def _hot(words: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def _id_type(path: str) -> np.dtype:
+    """Bytes for an id: two where the vocabulary allows it."""
+    return np.dtype(np.uint16 if max(_ranks(path).values()) < 1 << 16 else np.int32)
+
+
+def _hot(words: DataFrame, packed: np.dtype) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The most frequent words with offsets into their ids: bounded by HOT_WORDS and HOT_LENGTH."""
     top = words.where(F.length("word") <= HOT_LENGTH).orderBy(F.desc("n_docs"), "word").limit(HOT_WORDS).select("word", "ids").toArrow()
-    ids = top.column("ids").combine_chunks()
-    lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-    return top.column("word").combine_chunks(), np.concatenate([[0], np.cumsum(lengths)]), pc.list_flatten(ids).to_numpy(zero_copy_only=False).astype(np.int32)
+    ids, lengths = _unbinary(top.column("ids").combine_chunks(), packed)
+    return top.column("word").combine_chunks(), np.concatenate([[0], np.cumsum(lengths)]), ids
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -100,9 +105,8 @@ def _lists(ids: np.ndarray, per_row: np.ndarray) -> pa.Array:
 def encode(documents: DataFrame, id_: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id, ids): the token ids of every text, without special tokens."""
     words = cut(dictionary(documents, text, vocabulary))
-    hot_words, hot_at, hot_ids = _hot(words)
-    # Between the stages ids are kept as bytes, two each where the vocabulary allows it.
-    packed = np.dtype(np.uint16 if max(_ranks(vocabulary or vocabulary_file()).values()) < 1 << 16 else np.int32)
+    packed = _id_type(vocabulary or vocabulary_file())
+    hot_words, hot_at, hot_ids = _hot(words, packed)
     shared = documents.sparkSession.sparkContext.broadcast((hot_words, hot_at, hot_ids))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +153,10 @@ def encode(documents: DataFrame, id_: str = "doc_id", text: str = "text", vocabu
         for b in batches:
             ids, n_old = _unbinary(b.column("ids"), packed)
             pieces, n_pieces = pc.list_flatten(b.column("pieces")), pc.list_value_length(b.column("pieces")).to_numpy(zero_copy_only=False).astype(np.int64)
-            piece = pieces.field("piece")
-            n_new = pc.list_value_length(piece).to_numpy(zero_copy_only=False).astype(np.int64)
+            new, n_new = _unbinary(pieces.field("piece"), packed)
             start = np.cumsum(n_old) - n_old
             where = pieces.field("at").to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(start, n_pieces)
-            filled = np.insert(ids, np.repeat(where, n_new), pc.list_flatten(piece).to_numpy(zero_copy_only=False))
+            filled = np.insert(ids, np.repeat(where, n_new), new)
             of = np.repeat(np.arange(len(n_old)), n_pieces)
             sizes = n_old + np.bincount(of, weights=n_new, minlength=len(n_old)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), _lists(filled, sizes)], names=[id_, "ids"])
