@@ -111,4 +111,6 @@ def within_budget(items: DataFrame, budget: int, threshold: float = 0.0) -> Data
             keep.append(take)
         return group[keep]
 
-    return able.groupBy(F.lit(0)).applyInPandas(lambda _, g: fold(g[["node_id", "risk", "tokens"]]), items.select("node_id", "risk", "tokens").schema)
+    columns = ["node_id", "risk", "tokens"]
+    schema = items.select(*columns).schema
+    return able.select(*columns, F.lit(0).alias("fold")).groupBy("fold").applyInPandas(lambda g: fold(g[columns]), schema)
