@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orefield.functions.model import prop
 from orefield.functions.text import REDACTIONS, content_hash, redact, redaction_counts
 from orefield.operators import extract, graph, narrate, reports, triage
 from orefield.sources import store
@@ -197,12 +198,12 @@ def risk_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def work_queue_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraph units by the risk of the paragraph of that name in their codebase, chosen within a token budget."""
-    p = table(spark, d, "nodes").where(F.col("type") == "Paragraph")
-    risky = p.groupBy("codebase_id", F.substring_index("name", ".", -1).alias("name")).agg(F.max(F.round(triage.risk_score(), 4)).alias("risk"))
-    u = table(spark, d, "units").where((F.col("kind") == "paragraph") & F.col("source").isNotNull()).select(F.col("unit_id").cast("string").alias("node_id"), "codebase_id", "name", "source")
-    items = u.join(risky, ["codebase_id", "name"]).select("node_id", "risk", F.greatest(F.lit(1), F.floor(F.length("source") / 4)).cast("bigint").alias("tokens"))
-    return triage.within_budget(items, BUDGET, THRESHOLD)
+    """Programs by the risk summed over their paragraphs, chosen within a budget of tokens of source."""
+    nodes = table(spark, d, "nodes")
+    risky = reports.program_rollup(nodes).select(F.concat(F.lit("Program:"), "codebase_id", F.lit(":"), "program").alias("id"), "risk")
+    programs = nodes.where(F.col("type") == "Program").select(F.col("id").alias("node_id"), prop("source_file").alias("source_file"))
+    units = programs.join(table(spark, d, "source_files").select("source_file", F.col("text").alias("source")).where(F.col("text").isNotNull()), "source_file")
+    return triage.within_budget(triage.work_items(units, risky), BUDGET, THRESHOLD)
 
 
 # ---------------------------------------------------------------- narration
@@ -452,8 +453,8 @@ SQL: dict[str, str] = {
     "program_rollup": f"WITH {_N} SELECT codebase_id, {_JSON.format('properties', 'parent_program')} AS program, count(*) AS n_paragraphs, sum({_NUMBER.format('cyclomatic_complexity')}) AS complexity, max({_NUMBER.format('cyclomatic_complexity')}) AS worst, round(max({_NUMBER.format('goto_density')}), 4) AS goto_density, round(sum({_RISK}), 4) AS risk FROM n WHERE type = 'Paragraph' AND {_JSON.format('properties', 'parent_program')} IS NOT NULL GROUP BY 1, 2",
     "migration_candidates": f"WITH {_N} SELECT id, name, round({_RISK}, 4) AS risk, {_NUMBER.format('cyclomatic_complexity')} AS complexity, round({_NUMBER.format('goto_density')}, 4) AS goto_density, 0.0::double AS external_calls FROM n WHERE type = 'Program' ORDER BY 3 DESC, 1 LIMIT 10",
     "redaction_findings": _findings(),
-    "work_queue_greedy": f"""WITH RECURSIVE p AS (SELECT codebase_id, regexp_extract(name, '([^.]*)$', 1) AS name, max(round({_RISK}, 4)) AS risk FROM nodes WHERE type = 'Paragraph' GROUP BY 1, 2),
-i AS (SELECT unit_id::varchar AS node_id, p.risk, greatest(1, length(u.source) // 4) AS tokens FROM units u JOIN p ON p.codebase_id = u.codebase_id AND p.name = u.name WHERE u.kind = 'paragraph' AND u.source IS NOT NULL),
+    "work_queue_greedy": f"""WITH RECURSIVE p AS (SELECT 'Program:' || codebase_id || ':' || {_JSON.format('properties', 'parent_program')} AS id, round(sum({_RISK}), 4) AS risk FROM nodes WHERE type = 'Paragraph' GROUP BY 1),
+i AS (SELECT n.id AS node_id, p.risk, greatest(1, length(f.text) // 4) AS tokens FROM nodes n JOIN p ON p.id = n.id JOIN source_files f ON f.source_file = {_JSON.format('n.properties', 'source_file')} WHERE n.type = 'Program' AND f.text IS NOT NULL),
 o AS (SELECT *, row_number() OVER (ORDER BY risk DESC, node_id) AS k FROM i WHERE risk >= {THRESHOLD} AND tokens <= {BUDGET}),
 g AS (SELECT 0::bigint AS k, {BUDGET}::bigint AS remaining, false AS taken UNION ALL SELECT o.k, CASE WHEN o.tokens <= g.remaining THEN g.remaining - o.tokens ELSE g.remaining END, o.tokens <= g.remaining FROM g JOIN o ON o.k = g.k + 1)
 SELECT o.node_id, o.risk, o.tokens FROM o JOIN g ON g.k = o.k WHERE g.taken""",

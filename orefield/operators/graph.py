@@ -112,10 +112,28 @@ def impact(edges: DataFrame, nodes: DataFrame, starts: DataFrame, hops: int = 2,
     return reach(steps, starts, hops).join(nodes.select("id", "type", "name"), "id", "left").select("start", "id", F.col("hop").cast("bigint").alias("hop"), "type", "name")
 
 
+def closure(steps: DataFrame) -> DataFrame:
+    """(start, id, hop): all that each node reaches over (src, dst), with the least number of steps; a node does not reach itself.
+
+    Distances are joined with themselves, so the number of rounds is the logarithm of the longest one.
+    After a round all distances up to twice the former limit are known and least; a round that finds no
+    new pair therefore proves that there is none.
+    """
+    known = steps.where(F.col("src") != F.col("dst")).select(F.col("src").alias("start"), F.col("dst").alias("id"), F.lit(1).cast("bigint").alias("hop")).distinct()
+    known = cut(known)
+    n, before = known.count(), -1
+    while n != before:
+        far = known.select(F.col("start").alias("id"), F.col("id").alias("next"), F.col("hop").alias("more"))
+        longer = known.join(far, "id").where(F.col("start") != F.col("next")).select("start", F.col("next").alias("id"), (F.col("hop") + F.col("more")).alias("hop"))
+        known = cut(known.unionByName(longer).groupBy("start", "id").agg(F.min("hop").alias("hop")))
+        n, before = known.count(), n
+    return known
+
+
 def depth_from_all(edges: DataFrame, nodes: DataFrame, edge_type: str) -> DataFrame:
     """(id, depth): levels of a breadth-first search along one edge type from every node that has such an edge; destinations must be nodes."""
     steps = neighbors(edges, nodes, edge_type).select("src", "dst").distinct()
-    return reach(steps, steps.select(F.col("src").alias("id")).distinct()).groupBy(F.col("start").alias("id")).agg(F.max("hop").cast("bigint").alias("depth"))
+    return closure(steps).groupBy(F.col("start").alias("id")).agg(F.max("hop").alias("depth"))
 
 
 def resolved_chains(edges: DataFrame, nodes: DataFrame) -> DataFrame:

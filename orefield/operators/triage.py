@@ -86,7 +86,8 @@ def candidates(paragraphs: DataFrame, implements: DataFrame, rules: DataFrame, n
 
 def work_items(units: DataFrame, risky: DataFrame) -> DataFrame:
     """(node_id, risk, tokens): units that belong to a node, with its risk."""
-    return units.select("node_id", token_estimate(F.col("source")).alias("tokens")).join(risky.select(F.col("id").alias("node_id"), "risk"), "node_id").select("node_id", "risk", "tokens")
+    u = units.select("node_id", token_estimate(F.col("source")).alias("tokens"))
+    return u.join(risky.select(F.col("id").alias("node_id"), "risk"), "node_id").select("node_id", "risk", "tokens")
 
 
 def within_budget(items: DataFrame, budget: int, threshold: float = 0.0) -> DataFrame:
