@@ -87,14 +87,15 @@ def programs(files: DataFrame) -> DataFrame:
 
 def paragraphs(progs: DataFrame) -> DataFrame:
     """One row per paragraph with its lines; code before the first header belongs to the first paragraph, or to MAIN if there is none."""
-    parts = F.split("procedure", rf"(?m)^(?=[ \t]{{0,3}}{_HEADER})", -1)
+    # The line feed before keeps what precedes the first header a part of its own, if only an empty one.
+    parts = F.split(F.concat(F.lit("\n"), "procedure"), rf"(?m)^(?=[ \t]{{0,3}}{_HEADER})", -1)
     split_ = progs.select("source_file", "codebase_id", "program", F.flatten(F.transform("copies", lambda c: c["pairs"])).alias("pairs"), parts.alias("parts"))
     lead = F.trim(F.get("parts", F.lit(0)))
     acts = lead.rlike(r"(?i)\b(PERFORM|CALL)\b")
     body = F.filter("parts", lambda p, i: (i > 0))
     chosen = F.when((F.size("parts") == 1) & acts, F.array(F.concat(F.lit("MAIN.\n"), lead))).otherwise(body)
     rows = split_.select("source_file", "codebase_id", "program", "pairs", F.when((F.size("parts") > 1) & acts, lead).otherwise("").alias("lead"), F.posexplode(chosen).alias("nth", "part"))
-    content = F.filter(F.transform(F.split("part", "\n"), F.trim), lambda x: x != "")
+    content = F.filter(F.transform(F.split("part", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = rows.withColumn("content", content)
     name = F.upper(F.regexp_extract(F.element_at("content", 1), r"^([A-Za-z0-9-]+)", 1))
     text = F.array_join(F.slice("content", 2, F.greatest(F.size("content") - 1, F.lit(0))), "\n")
@@ -113,7 +114,7 @@ def paragraphs(progs: DataFrame) -> DataFrame:
 def fields(progs: DataFrame) -> DataFrame:
     """Working-storage items: level, name, picture, redefines, occurs; malformed ones are marked."""
     storage = F.regexp_extract("code", r"(?is)WORKING-STORAGE\s+SECTION\.?[^\n]*\n(.*?)(?=\n\s*(?:LINKAGE|FILE|LOCAL-STORAGE)\s+SECTION|\n\s*PROCEDURE\s+DIVISION|$)", 1)
-    line = F.explode(F.filter(F.transform(F.split(storage, "\n"), F.trim), lambda x: x.rlike(r"^\d{1,2}\s") & ~x.rlike(r"^88\s")))
+    line = F.explode(F.filter(F.transform(F.split(storage, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^\d{1,2}\s") & ~x.rlike(r"^88\s")))
     f = progs.select("source_file", "codebase_id", "program", line.alias("line"))
     picture = F.regexp_replace(F.regexp_extract("line", r"(?i)\bPIC(?:TURE)?\s+(\S+)", 1), r"\.$", "")
     name = F.regexp_extract("line", r"^\d{1,2}\s+([A-Z0-9-]+)", 1)
@@ -228,7 +229,7 @@ def jcl_parts(files: DataFrame) -> DataFrame:
         text = F.regexp_replace(text, r"(?m)^(//[^\n]*,)[ \t]*\n//[ \t]+(?=\S)", "$1")
     f = of_kind(files, "jcl").select("source_file", "codebase_id", text.alias("code"))
     job = F.upper(F.regexp_extract("code", r"(?m)^//([A-Za-z0-9@#$]+)[ \t]+(?i:JOB)\b", 1))
-    parts = F.split("code", r"(?m)^(?=//[A-Za-z0-9@#$]*[ \t]+(?i:EXEC)[ \t])", -1)
+    parts = F.split(F.concat(F.lit("\n"), "code"), r"(?m)^(?=//[A-Za-z0-9@#$]*[ \t]+(?i:EXEC)[ \t])", -1)
     return f.select("source_file", "codebase_id", "code", F.when(job != "", job).otherwise("UNKNOWN").alias("job"), F.posexplode(parts).alias("nth", "part"))
 
 
