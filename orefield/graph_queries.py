@@ -463,8 +463,12 @@ SELECT source_file, upper(regexp_extract(c, '^([A-Za-z0-9-]+)', 1)) AS copybook,
     "extract_sql_access": rf"""WITH {_CODE}, b AS (SELECT source_file, unnest(regexp_extract_all(bare, '(?is)\bEXEC\s+SQL\b(.*?)END-EXEC', 1)) AS b FROM f)
 SELECT DISTINCT source_file, 'READS' AS access, upper(t) AS "table" FROM (SELECT source_file, unnest(regexp_extract_all(b, '(?i)\bFROM\s+([A-Z_][A-Z0-9_]+)', 1)) AS t FROM b)
 UNION ALL SELECT DISTINCT source_file, 'WRITES', upper(t) FROM (SELECT source_file, unnest(list_concat(regexp_extract_all(b, '(?i)\bINTO\s+([A-Z_][A-Z0-9_]+)', 1), regexp_extract_all(b, '(?i)\bUPDATE\s+([A-Z_][A-Z0-9_]+)', 1))) AS t FROM b)""",
-    "extract_jcl_steps": r"""WITH s AS (SELECT codebase_id, unnest(regexp_extract_all(text, '(?im)^//[A-Z0-9@#$]*[ \t]+EXEC[ \t][^\n]*\bPGM\s*=\s*''?[^'',\s()]+')) AS x FROM source_files WHERE regexp_matches(source_file, '(?i)\.jcl$'))
-SELECT 'JCLStep:' || codebase_id || ':' || CASE WHEN regexp_extract(x, '^//([A-Za-z0-9@#$]*)', 1) = '' THEN 'ANONSTEP' ELSE upper(regexp_extract(x, '^//([A-Za-z0-9@#$]*)', 1)) END AS src, 'Program:' || codebase_id || ':' || upper(regexp_extract(x, '(?i)\bPGM\s*=\s*''?([^'',\s()]+)', 1)) AS dst, count(*) AS n FROM s GROUP BY 1, 2""",
+    "extract_jcl_steps": r"""WITH s AS (SELECT codebase_id, unnest(regexp_extract_all(text, '(?im)^//[A-Z0-9@#$.\-]*[ \t]+EXEC[ \t][^\n]*\bPGM\s*=\s*''?[^'',\s()]+')) AS x FROM source_files WHERE regexp_matches(source_file, '(?i)\.jcl$'))
+SELECT 'JCLStep:' || codebase_id || ':' || CASE WHEN regexp_extract(x, '^//([A-Za-z0-9@#$.\-]*)', 1) = '' THEN 'ANONSTEP' ELSE upper(regexp_extract(x, '^//([A-Za-z0-9@#$.\-]*)', 1)) END AS src, 'Program:' || codebase_id || ':' || upper(regexp_extract(x, '(?i)\bPGM\s*=\s*''?([^'',\s()]+)', 1)) AS dst, count(*) AS n FROM s GROUP BY 1, 2""",
+    "extract_fields": rf"""WITH g AS (SELECT source_file, array_to_string(list_transform({_LINES}, lambda x: regexp_replace({_AREA}, '\s+$', '')), chr(10)) AS code FROM source_files WHERE regexp_matches(source_file, '(?i)\.(cbl|cob)$')),
+w AS (SELECT source_file, trim(unnest(string_split(regexp_extract(code, '(?is)WORKING-STORAGE\s+SECTION\.?[^\n]*\n(.*?)(?:\n\s*(?:LINKAGE|FILE|LOCAL-STORAGE)\s+SECTION|\n\s*PROCEDURE\s+DIVISION|\z)', 1), chr(10)))) AS l FROM g),
+i AS (SELECT source_file, l, regexp_replace(regexp_extract(l, '(?i)\bPIC(?:TURE)?\s+(\S+)', 1), '\.$', '') AS pic FROM w WHERE regexp_matches(l, '^\d{{1,2}}\s') AND NOT regexp_matches(l, '^88\s'))
+SELECT source_file, count(*) AS n_fields, count(*) FILTER (NOT regexp_matches(l, '^\d{{1,2}}\s+[A-Z0-9-]+\b.*\.\s*$') OR regexp_matches(pic, '[^A-Z0-9()$/.,+\-*V]')) AS n_bad FROM i GROUP BY 1""",
     "extract_calls": r"""WITH l AS (SELECT source_file, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS x FROM source_files WHERE regexp_matches(source_file, '(?i)\.(cbl|cob)$')),
 c AS (SELECT source_file, unnest(regexp_extract_all(CASE WHEN substr(x, 7, 1) IN ('*', '/') THEN '' WHEN length(x) >= 7 AND substr(x, 7, 1) NOT IN (' ', '-') THEN x[1:72] WHEN length(x) > 7 THEN x[8:72] ELSE x END, '(?i)CALL\s+["'']([A-Z0-9-]+)["'']', 1)) AS c FROM l)
 SELECT source_file, upper(c) AS target, count(*) AS n FROM c GROUP BY 1, 2""",

@@ -225,11 +225,11 @@ def jcl_parts(files: DataFrame) -> DataFrame:
     """JCL files with statements put on one line each, cut at their EXEC cards: (job, nth, part)."""
     text = F.array_join(lines(F.col("text")), "\n")
     text = F.regexp_replace(text, r"(?m)^//\*[^\n]*(?:\n|$)", "")
-    for _ in range(6):  # a continued statement has seldom more cards; what is longer keeps its tail as operands of none
-        text = F.regexp_replace(text, r"(?m)^(//[^\n]*,)[ \t]*\n//[ \t]+(?=\S)", "$1")
+    # A card that ends with a comma takes the next one, which may go on itself (\G is where the last match ended).
+    text = F.regexp_replace(text, r"(?m)(?:^(//[^\n]*,)|\G(?!\A)([^\n]*,))[ \t]*\n//[ \t]+(?=\S)", "$1$2")
     f = of_kind(files, "jcl").select("source_file", "codebase_id", text.alias("code"))
-    job = F.upper(F.regexp_extract("code", r"(?m)^//([A-Za-z0-9@#$]+)[ \t]+(?i:JOB)\b", 1))
-    parts = F.split(F.concat(F.lit("\n"), "code"), r"(?m)^(?=//[A-Za-z0-9@#$]*[ \t]+(?i:EXEC)[ \t])", -1)
+    job = F.upper(F.regexp_extract("code", r"(?m)^//([A-Za-z0-9@#$.\-]+)[ \t]+(?i:JOB)\b", 1))
+    parts = F.split(F.concat(F.lit("\n"), "code"), r"(?m)^(?=//[A-Za-z0-9@#$.\-]*[ \t]+(?i:EXEC)[ \t])", -1)
     return f.select("source_file", "codebase_id", "code", F.when(job != "", job).otherwise("UNKNOWN").alias("job"), F.posexplode(parts).alias("nth", "part"))
 
 
@@ -240,14 +240,14 @@ def jcl(files: DataFrame) -> Extract:
     key = lambda k, c="card": F.regexp_extract(c, rf"(?i)\b{k}\s*=\s*'?([\w.\-]+)'?", 1)
     none = lambda c: F.when(c != "", c)
     steps = p.where("nth > 0").select("source_file", "codebase_id", "job", "nth", "part", card.alias("card"), *[
-        F.upper(F.regexp_extract(card, r"^//([A-Za-z0-9@#$]*)", 1)).alias("label"), F.upper(F.regexp_extract(card, r"(?i)\bPGM\s*=\s*'?([^',\s()]+)", 1)).alias("pgm"),
+        F.upper(F.regexp_extract(card, r"^//([A-Za-z0-9@#$.\-]*)", 1)).alias("label"), F.upper(F.regexp_extract(card, r"(?i)\bPGM\s*=\s*'?([^',\s()]+)", 1)).alias("pgm"),
         F.regexp_extract(card, r"(?i)\bCOND\s*=\s*\(([^)]*)\)", 1).alias("cond"), F.upper(F.regexp_extract(card, r"(?i)\bEXEC[ \t]+(?:PROC=)?([A-Z0-9@#$]+)(?![A-Z0-9@#$=])", 1)).alias("proc"),
     ])
     steps = steps.withColumn("step", F.when(F.col("label") == "", "ANONSTEP").otherwise(F.col("label"))).withColumn("proc", F.when(F.col("pgm") == "", F.col("proc")).otherwise(""))
     dds = steps.select("source_file", "codebase_id", "job", "step", F.explode(_all(F.col("part"), r"(?im)^//(\S*[ \t]+DD[ \t]+.*)$")).alias("dd"))
     dds = dds.select("*", F.upper(F.regexp_extract("dd", r"(?i)\bDSN\s*=\s*'?([^',\s()]+)", 1)).alias("dsn"), F.upper(F.regexp_extract("dd", r"(?i)\bDISP\s*=\s*\(?\s*([A-Za-z]+)", 1)).alias("status"), F.upper(F.regexp_extract("dd", r"(?i)\bDISP\s*=\s*\(\s*[A-Za-z]+\s*,\s*([A-Za-z]+)", 1)).alias("normal"), F.upper(F.regexp_extract("dd", r"^(\S+)", 1)).alias("name"))
     lineage = F.when(F.col("status").isin("SHR", "OLD"), F.array(F.lit("READS"))).when((F.col("status") == "MOD") & (F.col("normal") == "DELETE"), F.array(F.lit("READS"), F.lit("WRITES"))).when(F.col("status").isin("NEW", "MOD"), F.array(F.lit("WRITES"))).otherwise(F.array().cast("array<string>"))
-    odd = p.select("source_file", "codebase_id", "job", F.explode(_all(F.col("part"), r"(?m)^(//(?!\*)[^\s]*[ \t]+(?!(?i:JOB|EXEC|DD|IF|THEN|ELSE|ENDIF|OUTPUT|JCLLIB|INCLUDE|SET|COMMAND|PROC|PEND)\b)\S[^\n]*)$")).alias("line"))
+    odd = p.select("source_file", "codebase_id", "job", F.explode(_all(F.col("part"), r"(?m)^(//(?!\*)(?:[^\s]*[ \t]+(?!(?i:JOB|EXEC|DD|IF|THEN|ELSE|ENDIF|OUTPUT|JCLLIB|INCLUDE|SET|COMMAND|PROC|PEND)\b)\S[^\n]*|[^\sA-Za-z0-9@#$][^\n]*))$")).alias("line"))
     step_id = _cb(F.col("step"), "JCLStep")
     nodes = [
         heads.select(*_node("JCLJob", F.col("job"), content_hash(F.col("code")), 1.0, properties(**{"class": none(key("CLASS")), "msgclass": none(key("MSGCLASS")), "restart": none(key("RESTART")), "accounting": none(F.regexp_extract("card", r"^\s*(\([^)]*\)|[^,=\s]+)(?=,|\s|$)", 1))}))),
@@ -292,7 +292,9 @@ def ddl(files: DataFrame) -> Extract:
     v = f.select("source_file", "codebase_id", F.explode(_all(F.col("code"), rf"(?is)(CREATE\s+VIEW\s+{_NAME}\s.*?;)")).alias("stmt"))
     before = F.regexp_replace("stmt", r"(?is)\bWHERE\b.*$", "")
     v = v.select("*", F.upper(F.regexp_extract("stmt", rf"(?i)VIEW\s+({_NAME})", 1)).alias("view"), F.array_distinct(F.transform(_all(before, rf"(?i)\b(?:FROM|JOIN)\s+({_NAME})"), F.upper)).alias("tables"))
-    pk = cons.where("ckind = 'PK'").select("source_file", "table", F.split("cols", ",").alias("pk_cols"))
+    inline = cols.where(F.col("entry").rlike(r"(?i)\bPRIMARY\s+KEY\b")).select("source_file", "codebase_id", "table", "entry", F.concat("table", F.lit("_PK")).alias("cname"), F.lit("PK").alias("ckind"), F.lit("").alias("ref"), F.col("column").alias("cols"))
+    cons = cons.select(*inline.columns).unionByName(inline)
+    pk = cons.where("ckind = 'PK'").groupBy("source_file", "table").agg(F.flatten(F.collect_list(F.split("cols", ","))).alias("pk_cols"))
     cols = cols.join(pk, ["source_file", "table"], "left")
     n_odd = cols.groupBy("source_file", "table").agg(F.count_if(F.col("kind") == "").alias("n_odd"), F.array_sort(F.collect_list("column")).alias("columns"))
     whole = t.join(n_odd, ["source_file", "table"], "left")

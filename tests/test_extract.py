@@ -100,11 +100,21 @@ def test_copybook(spark):
 
 
 JCL = """\
-//NIGHT    JOB (ACC,1),'RUN',CLASS=A,
+//NI-GHT   JOB (ACC,1),'RUN',CLASS=A,
 //             MSGCLASS=X
 //* a remark
-//S1       EXEC PGM=LOADER,COND=(4,LT)
-//IN       DD DSN=A.IN,DISP=SHR
+//S-1      EXEC PGM=LOADER,COND=(4,LT)
+//IN       DD DSN=A.IN,
+//             X0=0,
+//             X1=1,
+//             X2=2,
+//             X3=3,
+//             X4=4,
+//             X5=5,
+//             X6=6,
+//             X7=7,
+//             X8=8,
+//             DISP=SHR
 //OUT      DD DSN=A.OUT,
 //             DISP=(NEW,CATLG,DELETE)
 //LOG      DD DSN=A.LOG,DISP=(MOD,DELETE)
@@ -113,26 +123,27 @@ JCL = """\
 /*
 //S2       EXEC MYPROC
 //X        FROB A=1
+////*
 //N        DD DSN=A.NONE
 """
 
 
 def test_jcl(spark):
     r = X.jcl(files(spark, NIGHT_dot_jcl=JCL))
-    assert ids(r.nodes, "JCLJob") == ["JCLJob:cb:NIGHT"] and ids(r.nodes, "Dataset") == [f"Dataset:cb:A.{x}" for x in ("IN", "LOG", "NONE", "OUT")]
+    assert ids(r.nodes, "JCLJob") == ["JCLJob:cb:NI-GHT"] and ids(r.nodes, "Dataset") == [f"Dataset:cb:A.{x}" for x in ("IN", "LOG", "NONE", "OUT")]
     steps = [i for i in ids(r.nodes, "JCLStep")]
-    assert "JCLStep:cb:S1" in steps and "JCLStep:cb:S2" in steps and len(steps) == 3 and any("ANOMALY" in s for s in steps)
-    s = "JCLStep:cb:S1"
+    assert "JCLStep:cb:S-1" in steps and "JCLStep:cb:S2" in steps and len(steps) == 4 and any("ANOMALY" in s for s in steps)
+    s = "JCLStep:cb:S-1"
     assert edges(r.edges) == sorted([(s, "EXECUTES", "Program:cb:LOADER"), (s, "READS", "Dataset:cb:A.IN"), (s, "WRITES", "Dataset:cb:A.OUT"), (s, "READS", "Dataset:cb:A.LOG"), (s, "WRITES", "Dataset:cb:A.LOG")])
-    assert props(r.nodes, "JCLJob:cb:NIGHT")[0] == {"accounting": "(ACC,1)", "class": "A", "msgclass": "X"}
-    assert props(r.nodes, s)[0] == {"cond": "4,LT", "exec_kind": "PROGRAM", "parent_job": "NIGHT", "program": "LOADER", "step_number": 1}
-    assert props(r.nodes, "JCLStep:cb:S2")[0]["proc"] == "MYPROC" and "SORT FIELDS" in {u["name"]: u["source"] for u in r.units.collect()}["NIGHT.S1"]
+    assert props(r.nodes, "JCLJob:cb:NI-GHT")[0] == {"accounting": "(ACC,1)", "class": "A", "msgclass": "X"}
+    assert props(r.nodes, s)[0] == {"cond": "4,LT", "exec_kind": "PROGRAM", "parent_job": "NI-GHT", "program": "LOADER", "step_number": 1}
+    assert props(r.nodes, "JCLStep:cb:S2")[0]["proc"] == "MYPROC" and "SORT FIELDS" in {u["name"]: u["source"] for u in r.units.collect()}["NI-GHT.S-1"]
 
 
 DDL = """\
 -- CREATE TABLE NOT_THIS (A INT);
 CREATE TABLE CUST (ID BIGINT NOT NULL, NAME VARCHAR(20), AMT DECIMAL(9,2), PRIMARY KEY (ID), CONSTRAINT C1 CHECK (AMT > 0));
-CREATE TABLE ORD (ID BIGINT, CID BIGINT, CONSTRAINT FK1 FOREIGN KEY (CID) REFERENCES CUST (ID) ON DELETE CASCADE) IN TS1;
+CREATE TABLE ORD (ID BIGINT PRIMARY KEY, CID BIGINT, CONSTRAINT FK1 FOREIGN KEY (CID) REFERENCES CUST (ID) ON DELETE CASCADE) IN TS1;
 CREATE UNIQUE INDEX IX1 ON ORD (CID);
 CREATE VIEW V1 AS SELECT C.ID FROM CUST C JOIN ORD O ON O.CID = C.ID WHERE C.ID IN (SELECT ID FROM OTHERS);
 CREATE TRIGGER T1 AFTER UPDATE OF NAME ON CUST REFERENCING NEW AS N FOR EACH ROW MODE DB2SQL BEGIN ATOMIC INSERT INTO AUDIT (ID) VALUES (N.ID); IF 1 = 1 THEN UPDATE ORD SET ID = 1; END IF; END;
@@ -145,7 +156,7 @@ def test_ddl_triggers_procedures(spark):
     f = files(spark, db_dot_sql=DDL)
     r = X.ddl(f)
     assert ids(r.nodes, "DB2Table") == ["DB2Table:cb:CUST", "DB2Table:cb:ORD"] and len(ids(r.nodes, "DB2Column")) == 5 and ids(r.nodes, "View") == ["View:cb:V1"]
-    assert ids(r.nodes, "Constraint") == [f"Constraint:cb:{c}" for c in ("C1", "CUST_PK", "FK1", "IX1")]
+    assert ids(r.nodes, "Constraint") == [f"Constraint:cb:{c}" for c in ("C1", "CUST_PK", "FK1", "IX1", "ORD_PK")]
     assert edges(r.edges) == sorted([("DB2Table:cb:ORD", "CASCADES_TO", "DB2Table:cb:CUST"), ("View:cb:V1", "ABSTRACTS", "DB2Table:cb:CUST"), ("View:cb:V1", "ABSTRACTS", "DB2Table:cb:ORD")])
     assert props(r.nodes, "DB2Column:cb:CUST.ID")[0] == {"is_pk": True, "not_null": True, "parent_table": "CUST", "type": "BIGINT"}
     assert props(r.nodes, "DB2Column:cb:CUST.AMT")[0]["type"] == "DECIMAL(9,2)"
