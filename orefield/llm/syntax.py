@@ -65,7 +65,7 @@ _OPERATORS = {"=", "<", ">", ">=", "<=", "<>"}
 _V = "[ILNF]"
 _Q = r"(?:I(?:(?:<OF>|<IN>)I)*(?:\([INF:+\-*/,]+\))*)"
 _X = rf"(?:{_Q}|[LNF])"
-_EXPR = rf"(?:[-+]?\(*[-+]?{_X}\)*(?:(?:\*\*|[-+*/])\(*[-+]?{_X}\)*|N\)*)*)"
+_EXPR = rf"(?:[-+]?\(*[-+]?{_X}\)*(?:[-+*/^]\(*[-+]?{_X}\)*|N\)*)*)"
 _TEST = rf"(?:(?:<NOT>)?\(*{_EXPR}(?:(?:<IS>)?(?:<NOT>)?(?:[=<>]|>=|<=|<>|<EQUAL>(?:<TO>)?|<GREATER>(?:<THAN>)?|<LESS>(?:<THAN>)?){_EXPR}|(?:<IS>)?(?:<NOT>)?(?:<NUMERIC>|<ALPHABETIC>|<POSITIVE>|<NEGATIVE>|F))?\)*)"
 _COND = rf"{_TEST}(?:(?:<AND>|<OR>){_TEST})*"
 _TARGETS = rf"(?:{_Q}(?:<ROUNDED>)?,?)+"
@@ -159,7 +159,7 @@ def _code(tokens: list[tuple[str, str, int, bool]]) -> str:
         elif kind == "number":
             out.append("N")
         elif kind == "mark":
-            out.append(word)
+            out.append("^" if word == "**" else word)
         elif kind != "word":
             out.append("?")
         elif word in _FIGURATIVE:
