@@ -217,6 +217,10 @@ def _findings_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda t: _findings(t) if t else [])
 
 
+# So that the filter on findings is not pushed below the scan, which would scan every text twice.
+_findings_of = _findings_of.asNondeterministic()
+
+
 def with_findings(units: DataFrame, source: str = "source", out: str = "credentials") -> DataFrame:
     """Rows that hold credentials, with their findings: kind, span (0-based characters, end excluded) and line."""
     return units.where(F.col(source).rlike(TRIGGER)).withColumn(out, _findings_of(F.col(source))).where(F.size(out) > 0)
