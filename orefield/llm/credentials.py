@@ -8,11 +8,15 @@ comment that tells a password, and when it is no placeholder.  Private keys are
 line.  Redaction replaces the characters of the value alone; quotes, separators, line ends and
 comment marks stay, and every line keeps its number.
 
-A cheap test in the scan (``rlike``) keeps sources without any trigger word away from Python; the
-rest goes through Arrow in batches.  Work is per row: no shuffle and no state, so skew cannot arise.
+A cheap test in the scan (``rlike``) keeps sources in which no rule can fire away from Python; it is
+derived from the names and marks of the rules and wider than they are.  The rest goes through Arrow in
+batches.  Work is per row: no shuffle and no state, so skew cannot arise.
 
 Defined cases: null and empty sources have no finding; columns other than those named are kept or
-ignored; repeated rows are each treated; texts are scanned whole, whatever their length.
+ignored; repeated rows are each treated; texts are scanned whole, whatever their length.  Refused as
+values, even after a credential name: fewer than four characters or three different ones, digits only,
+anything with a blank in it, paths in lower case, references (``vault``, ``arn:`` and the like), masks,
+variables and the words of PLACEHOLDERS; bare words moreover unless they hold a digit or look chosen.
 """
 
 from __future__ import annotations
@@ -26,12 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Sources without any of these hold nothing to find.
-TRIGGER = (
-    r"(?i)passw|passphrase|pswd|pwd|\bpass\b|-pass\b|_pass\b|[a-z]pass\b|\bpw\b|[-_.]pw\b|\bpw-|secret|token|tkn|auth|credential|bearer|api-?_?key|[-_]key\b|"
-    r"private key|://|log ?on|login|signon|identified|connect|by content|\n[ ]*(?:get|put|bin|binary|ascii|mget|mput)\b"
-)
-
 #: Parts of a name that say credential, and parts that follow them where the value is about one.
 STRONG = {"password", "passwd", "pswd", "pwd", "pw", "passphrase", "secret", "credential", "credentials", "newpassword", "oldpassword", "passcode"}
 TOKENS = {"token", "tkn", "auth", "apikey", "authorization", "pat", "jwt", "bearer"}
@@ -47,6 +45,25 @@ PLACEHOLDERS = {
     "prompt", "user", "userid", "pass", "pw", "pwd", "undefined", "your_password", "yourpassword", "placeholder", "required", "mypassword", "unknown",
 }
 
+
+
+def _trigger() -> str:
+    """What a source must hold for any rule of ``scan`` to fire, derived from the sets the rules use; wider than the rules, never narrower."""
+    parts = {*STRONG, *TOKENS, "pass"}
+    parts = [p for p in sorted(parts) if not any(q != p and q in p for q in parts)]
+    keys = [k for k in sorted(KEYS_AFTER) if not any(p in k for p in parts)]
+    rules = [
+        rf"(?:{'|'.join(keys)})[_.\-]*key", r"-key(?![a-z0-9_.\-])", r"x-[a-z\-]*key", r"basic[ \t]", "private key", "://", r"log(?:ged)?[ \t]*on", "login", "identified",
+        r"using[^a-z0-9'\"]+(?:by[^a-z0-9]+(?:content|reference|value)[^a-z0-9'\"]+)?['\"]",
+        r"\n[ \t]*(?:bin|binary|ascii|asc|ebcdic|get|put|mget|mput|cd|lcd|quit|quote|site|locsite)(?![a-z0-9_])",
+        "[\u0130\u0131\u017f\u212a]",  # Python takes these for i, s and k where case is ignored, Java does not
+    ]
+    return "(?i)" + "|".join([*parts, *rules])
+
+
+#: Sources without any of these hold nothing to find.
+TRIGGER = _trigger()
+
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 _QUOTED = r"""(?:'(?:[^'\n]|'')*'|"(?:[^"\\\n]|\\.)*")"""
 

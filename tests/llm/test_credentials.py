@@ -57,3 +57,19 @@ def test_lines_are_distinct_and_long_texts_are_scanned_whole(spark):
     df = spark.createDataFrame([(1, long), (1, long), (2, None)], "unit_id bigint, source string")
     assert sorted(map(tuple, C.found_lines(df).distinct().collect())) == [(1, 200_001)]
     assert C.found_lines(df.limit(0)).count() == 0
+
+
+#: One text per rule of scan() that holds nothing else.
+ALONE = [
+    "GITHUB_PAT=Ab12cd34", "JWT='Ab12cd34'", "PASSCODE: 'Ab12cd34'", "DB_PASS_PROD='Ab12cd34'", "AccountKey=Ab12cd34", "accessKey: \"Ab12cd34\"", "dbPw = 'Ab12cd34'", "      * LOGGED ON WITH Ab12cd34", "# log\ton with Ab12cd34",
+    "x: Basic QWxhZGRpbjpvcGVu12", "x-mykey: Ab12cd34", "USER 'ME' USING 'Tree-9x!'", "CALL 'FTP' USING 'host8' 'Winter-9021'", "CALL 'FTP' USING\n  BY\n  VALUE 'host8' BY VALUE 'Winter-9021'", "MOVE 'a1b2c3d4e5f6a7b8c9' TO WS-KEY",
+    "//IN DD *\nhost1.example\nuser1\nSilver8812\n\tcd /x", "//IN DD *\nhost1.example\nuser1\nSilver8812\nquote site x", "pa\u017f\u017f Ab12cd34",
+    *[f"{n} = 'Ab12cd34'" for n in sorted({*C.STRONG, *C.TOKENS, "pass"})], *[f"{k}{sep}key = 'Ab12cd34'" for k in sorted(C.KEYS_AFTER) for sep in "-_."], *[f"{k}Key = 'Ab12cd34'" for k in sorted(C.KEYS_AFTER)],
+]
+
+
+def test_every_rule_fires_through_the_filter(spark):
+    texts = ALONE + [s for s, _ in YES]
+    assert [s for s in texts if not C.scan(s)] == []
+    found = C.with_findings(spark.createDataFrame(list(enumerate(texts)), "unit_id bigint, source string")).select("unit_id").collect()
+    assert [s for i, s in enumerate(texts) if i not in {r["unit_id"] for r in found}] == []
