@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orefield.functions.text import content_hash, redact
+from orefield.plans.lineage import cut
 
 #: The reply of the deterministic narrator.
 MOCK_RULE = "Business rule for {}: performs standard data processing with conditional branching."
@@ -83,13 +84,15 @@ def spent_before(items: DataFrame, tokens: str, order: list) -> DataFrame:
     """Items with ``spent``: tokens of all items before them in the order.
 
     Two levels, so that no task sees all items: sums within ranges of the order, then sums over ranges.
+    The bounds of the ranges are sampled, so the rows are written with the number of their range: computed
+    twice, the numbers could differ.
     """
-    ranged = items.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    ranged = cut(items.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     # The order of ranges is the order of partitions; one row per partition goes through the second window.
     sums = ranged.groupBy("part").agg(F.sum(tokens).alias("part_sum"))
     before = sums.withColumn("before", F.coalesce(F.sum("part_sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
     inner = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(before), "part").withColumn("spent", F.col("before") + F.coalesce(F.sum(tokens).over(inner), F.lit(0))).drop("part", "before")
+    return ranged.join(F.broadcast(before), "part", "left").withColumn("spent", F.col("before") + F.coalesce(F.sum(tokens).over(inner), F.lit(0))).drop("part", "before")
 
 
 def rule_nodes(units: DataFrame, replies: DataFrame, codebase: Column) -> tuple[DataFrame, DataFrame]:

@@ -96,6 +96,19 @@ def test_replies_and_budget_sums(spark):
     assert got == {i: sum(10 + j for j in range(i)) for i in range(50)}
 
 
+def test_spent_is_the_running_sum_over_many_sampled_ranges(spark):
+    df = spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"), (F.col("id") % 5).alias("n_units"), (F.col("id") % 90 + 10).alias("tokens"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        M.spent_before(df, "tokens", ["hash"]).createOrReplaceTempView("got")
+        df.createOrReplaceTempView("items")
+        want = "SELECT hash, n_units, tokens, coalesce(sum(tokens) OVER (ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM items"
+        n, same = spark.sql(f"SELECT count(*), count_if(g.spent = w.spent AND g.n_units = w.n_units) FROM ({want}) w LEFT JOIN got g USING (hash)").first()
+        assert (n, same, spark.table("got").count()) == (200_000, 200_000, 200_000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_reports(spark):
     nodes, edges = graph(spark)
     d = {r["name"]: r for r in R.dependencies(nodes, edges).collect()}
