@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,9 @@ _COMMON = "|".join(sorted({*_SENTENCE.split("|"), *COMMON_WORDS.split()}))
 _ALONE = r"(?iu)(?<![^\s\"'(“‘«¿¡>/*#])(?:{})(?![^\s\"')”’»,;:.!?…]|[.,:'][\p{{L}}\p{{N}}])"
 PIECES = r"[\r\n\x0B\f\u0085  ]+|(?<=[.!?])\s+"
 OTHER_SCRIPT = r"[\p{L}&&[^\p{IsLatin}]]"
+WORD = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*"
+SYMBOL = r"(?U)[^\p{L}\p{M}\p{N}\s]"
+ENDS = r"[.!?:;…。！？：；؟۔।]$"
 
 LEAST_WORDS = 4
 LEAST_SHARE = 0.09
@@ -96,18 +99,26 @@ def _pieces(texts: DataFrame) -> DataFrame:
     )
 
 
-def judged(documents: DataFrame) -> DataFrame:
-    """(doc_id, prose_share, repeated_share, gram_cover, is_prose) of every row with text."""
-    texts = _texts(documents)
+def _shares(texts: DataFrame) -> DataFrame:
+    """(row, doc_id, prose_share, repeated_share): of the characters of each text."""
     chars = F.col("n") * F.col("n_chars")
     repeated = F.col("n") >= REPEATED
-    by_piece = _pieces(texts).groupBy("row", "doc_id").agg(
+    return _pieces(texts).groupBy("row", "doc_id").agg(
         (F.sum(F.when(F.col("reads") & ~repeated, chars).otherwise(0)) / F.sum(chars)).alias("prose_share"),
         (F.sum(F.when(repeated, chars).otherwise(0)) / F.sum(chars)).alias("repeated_share"),
     )
+
+
+def _cover() -> Column:
+    return _gram_cover(F.transform(F.split("text", r"(?U)\s+"), lambda w: F.xxhash64(w)))
+
+
+def judged(documents: DataFrame) -> DataFrame:
+    """(doc_id, prose_share, repeated_share, gram_cover, is_prose) of every row with text."""
+    texts = _texts(documents)
     # Only texts that repeat themselves within their pieces can have such an n-gram; it is looked for in all that look like prose.
-    grams = texts.select("row", _gram_cover(F.transform(F.split("text", r"(?U)\s+"), lambda w: F.xxhash64(w))).alias("gram_cover"))
-    return by_piece.join(grams, "row").select(
+    grams = texts.select("row", _cover().alias("gram_cover"))
+    return _shares(texts).join(grams, "row").select(
         "doc_id", "prose_share", "repeated_share", "gram_cover", ((F.col("prose_share") >= 0.5) & (F.col("gram_cover") < GRAM_COVER)).alias("is_prose"),
     )
 
@@ -118,20 +129,27 @@ def not_prose(documents: DataFrame) -> DataFrame:
 
 
 def statistics(documents: DataFrame) -> DataFrame:
-    """Per row with text: words, mean word length, shares of symbols, of lines that end in punctuation, of common words, of repeated lines and paragraphs."""
+    """Per row with text: words, mean word length, shares of symbols, of lines that end in punctuation, of common words, of repeated lines and paragraphs, and the shares behind the verdict.
+
+    Words are runs of letters and digits of any script, with the marks that belong to their letters; symbols are what is neither that nor blank.
+    """
     text = F.col("text")
-    words = F.expr(r"regexp_extract_all(text, '[A-Za-z0-9]+', 0)")
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     lines = F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
     paragraphs = F.filter(F.split(text, r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*"), lambda x: F.trim(x) != "")
-    wide = documents.where(text.rlike(r"\S")).select("doc_id", "text", words.alias("w"), lines.alias("l"), paragraphs.alias("p"))
+    texts = _texts(documents)
+    wide = texts.select("row", "doc_id", "text", words.alias("w"), lines.alias("l"), paragraphs.alias("p"))
     n_words, n_lines, n_paragraphs = F.size("w").cast("bigint"), F.size("l"), F.size("p")
     share = lambda part, whole: F.when(whole > 0, F.round(part / whole, 4)).otherwise(0.0)
-    return wide.select(
-        "doc_id", n_words.alias("n_words"),
+    figures = wide.select(
+        "row", "doc_id", n_words.alias("n_words"),
         share(F.length(F.array_join("w", "")), n_words).alias("mean_word_length"),
-        share(F.regexp_count("text", F.lit(r"[^A-Za-z0-9\s]")), F.length("text")).alias("symbol_ratio"),
-        share(F.size(F.filter("l", lambda x: F.rtrim(x).rlike(r"[.!?:;]$"))), n_lines).alias("punctuated_lines"),
-        share(F.size(F.filter("w", lambda x: F.lower(x).rlike(f"^(?:{_COMMON})$"))), n_words).alias("common_words"),
+        share(F.regexp_count("text", F.lit(SYMBOL)), F.length("text")).alias("symbol_ratio"),
+        share(F.size(F.filter("l", lambda x: F.rtrim(x).rlike(ENDS))), n_lines).alias("punctuated_lines"),
+        share(F.size(F.filter("w", lambda x: F.lower(x).isin(_COMMON.split("|")))), n_words).alias("common_words"),
         share(n_lines - F.size(F.array_distinct("l")), n_lines).alias("repeated_lines"),
         share(n_paragraphs - F.size(F.array_distinct("p")), n_paragraphs).alias("repeated_paragraphs"),
+        F.round(_cover(), 4).alias("gram_cover"),
     )
+    shares = [F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("prose_share", "repeated_share")]
+    return figures.join(_shares(texts).drop("doc_id"), "row", "left").select(*[c for c in figures.columns if c not in ("row", "gram_cover")], *shares, "gram_cover")

@@ -35,3 +35,15 @@ def test_statistics(spark):
     df = spark.createDataFrame([(1, "The dog ran.\nThe dog ran.\n\nA cat"), (2, None), (3, "?!")], "doc_id bigint, text string")
     got = {r["doc_id"]: r for r in quality.statistics(df).collect()}
     assert set(got) == {1, 3} and got[1]["n_words"] == 8 and got[1]["repeated_lines"] == 0.3333 and got[1]["punctuated_lines"] == 0.6667 and got[1]["common_words"] == 0.375 and got[3]["n_words"] == 0 and got[3]["symbol_ratio"] == 1.0
+
+
+def test_statistics_in_any_language(spark):
+    texts = ["Die Stapelläufe prüfen für uns.", "Пакет читает все записи.", "मूल पाठ यहाँ है।", "u\u0308ber 東京。", "été\u00a0–\u2003à"]
+    df = spark.createDataFrame([*enumerate(texts), (9, "again the same words " * 30), (9, PROSE[0]), (10, "\u2028")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in quality.statistics(df.where("doc_id <> 9")).collect()}
+    assert [got[i]["n_words"] for i in range(5)] == [5, 4, 4, 2, 2] and got[10]["n_words"] == 0 and got[10]["prose_share"] == 0
+    assert [round(got[i]["symbol_ratio"] * len(texts[i])) for i in range(5)] == [1, 1, 1, 1, 1]
+    assert [got[i]["punctuated_lines"] for i in range(5)] == [1, 1, 1, 1, 0]
+    assert got[0]["mean_word_length"] == 5.2 and got[1]["prose_share"] == 1
+    junk, prose = sorted((r for r in quality.statistics(df.where("doc_id = 9")).collect()), key=lambda r: -r["gram_cover"])
+    assert junk["gram_cover"] > 0.9 and (prose["gram_cover"], prose["prose_share"], prose["repeated_share"]) == (0, 1, 0)
