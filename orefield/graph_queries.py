@@ -130,6 +130,22 @@ def impact_3hop(spark: SparkSession, d: str) -> DataFrame:
     return graph.impact(edges, nodes, _first_table(nodes), 3, dangling=False).select("id", "hop", "type", "name")
 
 
+def _fiftieth(nodes: DataFrame) -> DataFrame:
+    """Distinct ids whose hash is divisible by 50: starts of every type, whatever their degree."""
+    return nodes.where(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint") % 50 == 0).select("id").distinct()
+
+
+def impact_2hop_starts(spark: SparkSession, d: str) -> DataFrame:
+    """All that is within two steps of each of a fiftieth of all nodes, dangling ids included."""
+    nodes, edges = _graph(spark, d)
+    return graph.impact(edges, nodes, _fiftieth(nodes), 2)
+
+
+def impact_3hop_starts(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _graph(spark, d)
+    return graph.impact(edges, nodes, _fiftieth(nodes), 3, dangling=False)
+
+
 def cascade_depth_all(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark, d)
     return graph.depth_from_all(edges, nodes, "CASCADES_TO")
@@ -342,7 +358,7 @@ def extract_unit_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 _NAMES = [
     list_nodes, latest_nodes, node_history_ops, edge_first_wins, store_diff, changed_ids, sql_passthrough, node_counts_by_type, edge_counts_by_type, graph_summary, hub_nodes, neighbors_out,
-    predecessors_in, touching, what_runs, triggers_on, impact_2hop, impact_3hop, cascade_depth_all, trigger_chain_depth, content_hashes, dedup_groups, unit_changes, redact_units, redact_documents,
+    predecessors_in, touching, what_runs, triggers_on, impact_2hop, impact_3hop, impact_2hop_starts, impact_3hop_starts, cascade_depth_all, trigger_chain_depth, content_hashes, dedup_groups, unit_changes, redact_units, redact_documents,
     redaction_findings, risk_score, combined_risk, top_risk, risk_bands, work_queue_greedy, narration_plan, mock_narration, unreachable, standalone, pattern_findings, dependency_map, copybook_usage,
     workflow_steps, change_history, migration_candidates, program_rollup, extract_counts, extract_nodes, extract_edges, extract_calls, extract_paragraphs, extract_includes, extract_sql_access, extract_fields,
     extract_copybooks, extract_jcl_steps, extract_jcl_lineage, extract_tables, extract_triggers, extract_maps, extract_unit_tokens,
@@ -395,6 +411,13 @@ r AS (SELECT min(id) AS id, 0 AS hop FROM n WHERE type = 'DB2Table' UNION SELECT
 m AS (SELECT id, min(hop) AS hop FROM r GROUP BY 1) SELECT m.id, m.hop, n.type, n.name FROM m LEFT JOIN n ON n.id = m.id WHERE m.hop > 0"""
 
 
+def _impact_of_many(hops: int, dangling: bool) -> str:
+    only = "" if dangling else "WHERE dst IN (SELECT id FROM n)"
+    return f"""{_NE}, b AS (SELECT src, dst FROM (SELECT src, dst FROM e UNION SELECT dst, src FROM e) {only}),
+r AS (SELECT DISTINCT id AS start, id, 0 AS hop FROM n WHERE ('0x' || substr(md5(id), 1, 8))::BIGINT % 50 = 0 UNION SELECT r.start, b.dst, r.hop + 1 FROM r JOIN b ON b.src = r.id WHERE r.hop < {hops}),
+m AS (SELECT start, id, min(hop) AS hop FROM r GROUP BY 1, 2) SELECT m.start, m.id, m.hop, n.type, n.name FROM m LEFT JOIN n ON n.id = m.id WHERE m.hop > 0"""
+
+
 _UNREACHABLE = "SELECT id FROM n WHERE type = 'Paragraph' AND NOT EXISTS (SELECT 1 FROM e WHERE e.type = 'PERFORMS' AND e.dst = n.id)"
 _STANDALONE = "SELECT id FROM n WHERE type = 'Program' AND NOT EXISTS (SELECT 1 FROM e WHERE e.type = 'CALLS' AND e.dst = n.id)"
 
@@ -432,6 +455,8 @@ SQL: dict[str, str] = {
     "triggers_on": f"WITH {_N}, {_E}, c AS (SELECT e.src, string_agg(DISTINCT n.name, ',' ORDER BY n.name) AS chain FROM e JOIN n ON n.id = e.dst WHERE e.type = 'TRIGGERS_TRIGGER' GROUP BY 1) SELECT e.dst AS table_id, e.src AS trigger_id, coalesce(c.chain, '') AS chain FROM e JOIN n ON n.id = e.src LEFT JOIN c ON c.src = e.src WHERE e.type = 'FIRES_ON'",
     "impact_2hop": _impact(2, True),
     "impact_3hop": _impact(3, False),
+    "impact_2hop_starts": _impact_of_many(2, True),
+    "impact_3hop_starts": _impact_of_many(3, False),
     "cascade_depth_all": f"{_depth('CASCADES_TO')} SELECT id, depth FROM d",
     "trigger_chain_depth": f"{_depth('TRIGGERS_TRIGGER')} SELECT id, depth FROM d",
     "content_hashes": f"WITH h AS (SELECT unit_id, content_hash, {_HASH.format('source')} AS hash FROM units WHERE source IS NOT NULL) SELECT unit_id, hash, coalesce(hash <> content_hash, true) AS stale FROM h",

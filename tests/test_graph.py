@@ -70,3 +70,16 @@ def test_chains_resolve_through_table_and_event(spark):
     edges = spark.createDataFrame([("Trigger:cb:T1", "Trigger:cb:ON:B:UPDATE", "TRIGGERS_TRIGGER", None), ("Trigger:cb:T1", "DB2Table:cb:A", "FIRES_ON", None)], E)
     assert rows(G.resolved_chains(edges, nodes)) == [("Trigger:cb:T1", "Trigger:cb:T2", "TRIGGERS_TRIGGER")]
     assert rows(G.triggers_on(edges, nodes)) == [("DB2Table:cb:A", "Trigger:cb:T1", "")]
+
+
+def test_impact_of_many_starts_equals_sql(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("nodes", "platform_nodes", "edges"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    for name in ("impact_2hop_starts", "impact_3hop_starts"):
+        got = entry.queries()[name](spark, folder).select("start", "id", "hop", "type", "name")
+        assert rows(got) == sorted(con.execute(entry.oracle_sql()[name]).fetchall(), key=str)
