@@ -19,13 +19,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Sources that held credentials, with only the values replaced."""
-    found = credentials.with_findings(table(spark, d, "units").select("unit_id", "source"))
+    found = credentials.with_findings(table(spark, d, "units").select("unit_id", "kind", "source"), kind="kind")
     return found.select("unit_id", F.size("credentials").cast("bigint").alias("n_redacted"), credentials.redacted(F.col("source"), F.col("credentials")).alias("source"))
 
 
 def p1_missed(spark: SparkSession, d: str) -> DataFrame:
     """Per kind: credentials found, and how many of them the existing reports do not cover."""
-    found = credentials.with_findings(table(spark, d, "units").select("unit_id", "source")).select("unit_id", F.explode("credentials").alias("c"))
+    found = credentials.with_findings(table(spark, d, "units").select("unit_id", "kind", "source"), kind="kind").select("unit_id", F.explode("credentials").alias("c"))
     reported = table(spark, d, "redaction_reports").groupBy("unit_id").agg(F.flatten(F.collect_list("findings")).alias("reported"))
     covered = F.coalesce(F.exists("reported", lambda r: (r["span_start"] < F.col("c.span_end")) & (F.col("c.span_start") < r["span_end"])), F.lit(False))
     return found.join(reported, "unit_id", "left").groupBy(F.col("c.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n_found"), F.count_if(~covered).alias("n_missed"))
