@@ -3,14 +3,18 @@
 The extension of a file names its language.  Each language has a lexer of its lines and cards, which
 finds unterminated literals, text outside its columns, broken continuations and merge-conflict markers,
 and a pushdown stack over the tokens, which finds unbalanced delimiters and scopes, statements without
-their words and premature ends.  Only syntax counts, not whether names are declared.
+their words and premature ends: scopes and parentheses in COBOL; parentheses and literals over all lines
+of a statement, IF, PROC and CNTL scopes and in-stream data in JCL; in SQL, embedded or not, recursive
+descent over expressions, queries, changes, tables, triggers and blocks, while the options of rarer
+statements are judged by their delimiters and terminators alone.  Only syntax counts, not whether names
+are declared.
 
 Files are checked one by one where they are read, in Arrow batches; nothing is shuffled but the counts
 of ``rates``.  Work is in proportion to the text.
 
 Defined cases: a file of another extension or without a name is no case; a null text is no case; an
 empty or blank text is broken (it lacks the beginning its language asks for); any letter case and any
-line ends; a missing last line end is no fault; texts are checked whole; repeated rows are reported
+line ends; a missing last line end is no fault; SQL nested deeper than some 150 levels counts as broken; texts are checked whole; repeated rows are reported
 once; an empty table gives no rows; other columns are ignored.
 """
 
@@ -43,16 +47,739 @@ def _lines(text: str) -> list[str]:
     return lines
 
 
+# ---------------------------------------------------------------- SQL
+
+_SQL_TOKEN = re.compile(
+    r"\s+|--[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|(?P<literal>(?:[XGN]|BX|GX|UX)?'(?:[^']|'')*')|(?P<quoted>\"[^\"\n]+\")|(?P<number>\d+(?:\.\d+)?(?:E[+-]?\d+)?(?!\w))|(?P<word>[A-Za-z@#$_][\w@#$]*)|(?P<mark><=|>=|<>|!=|\|\||[(),.;=<>+*/:%?-])", re.I
+)
+#: Words that end an expression or a list, and so name nothing.
+_RESERVED = set(
+    "SELECT FROM WHERE AND OR NOT ON GROUP ORDER HAVING UNION EXCEPT INTERSECT INTO VALUES SET THEN ELSE ELSEIF END WHEN IN LIKE BETWEEN IS AS JOIN INNER LEFT RIGHT FULL CROSS BY FETCH FOR WITH USING CASE CREATE ALTER DROP INSERT UPDATE DELETE DO OPTIMIZE QUERYNO".split()
+)
+_UNITS = {u + s for u in ("YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND", "MICROSECOND") for s in ("", "S")}
+_COMPARED = {"=", "<", ">", "<=", ">=", "<>", "!="}
+_TYPES = set("BIGINT INTEGER INT SMALLINT DATE TIME TIMESTAMP REAL DOUBLE FLOAT DECFLOAT DECIMAL NUMERIC DEC CHAR CHARACTER VARCHAR GRAPHIC VARGRAPHIC CLOB BLOB DBCLOB BINARY VARBINARY XML ROWID BOOLEAN LONG NCHAR NVARCHAR".split())
+_OBJECTS = set("TABLE VIEW INDEX TRIGGER PROCEDURE FUNCTION TABLESPACE DATABASE STOGROUP SEQUENCE ALIAS SYNONYM TYPE SCHEMA ROLE VARIABLE MASK PERMISSION COLUMN CONSTRAINT PACKAGE BUFFERPOOL AUXILIARY GLOBAL UNIQUE LOB LARGE DISTINCT TRUSTED PUBLIC NICKNAME SERVER WRAPPER EVENT WORKLOAD".split())
+#: First words of statements that are judged by their delimiters alone.
+_LOOSE = set(
+    "GRANT REVOKE COMMENT LABEL COMMIT ROLLBACK SAVEPOINT RELEASE LOCK CONNECT DECLARE RENAME EXPLAIN TRUNCATE MERGE SET CALL REFRESH EXCHANGE TRANSFER SIGNAL RESIGNAL GET RETURN OPEN CLOSE FETCH LEAVE ITERATE GOTO ALLOCATE ASSOCIATE PREPARE EXECUTE DESCRIBE WHENEVER INCLUDE DISCONNECT FREE HOLD USE TERMINATE".split()
+)
+#: Words that begin a statement of their own: where one stands among the options of another, a terminator is missing.
+_STARTS = set("CREATE ALTER DROP INSERT GRANT REVOKE COMMENT COMMIT SELECT TRUNCATE MERGE".split())
+
+
+class _Sql:
+    """Statements by recursive descent over tokens (kind, word, line)."""
+
+    def __init__(self, tokens: list[tuple[str, str, int]], hosts: bool = False):
+        self.tokens, self.at, self.hosts = tokens, 0, hosts
+
+    def word(self, ahead: int = 0) -> str:
+        k = self.at + ahead
+        return self.tokens[k][1] if k < len(self.tokens) and self.tokens[k][0] in ("word", "mark") else ""
+
+    def kind(self, ahead: int = 0) -> str:
+        k = self.at + ahead
+        return self.tokens[k][0] if k < len(self.tokens) else ""
+
+    def fail(self) -> None:
+        if self.at >= len(self.tokens):
+            raise Broken("ends within a statement")
+        raise Broken(f"SQL near {self.tokens[self.at][1][:20]!r} in line {self.tokens[self.at][2]}")
+
+    def take(self, *words: str) -> bool:
+        """Go over these words if they are next."""
+        if all(self.word(k) == w for k, w in enumerate(words)):
+            self.at += len(words)
+            return True
+        return False
+
+    def need(self, *words: str) -> None:
+        for w in words:
+            if not self.take(w):
+                self.fail()
+
+    def one_of(self, *words: str) -> str:
+        w = self.word()
+        if w not in words:
+            self.fail()
+        self.at += 1
+        return w
+
+    def named(self) -> bool:
+        return self.kind() == "quoted" or (self.kind() == "word" and self.word() not in _RESERVED)
+
+    def name(self) -> None:
+        """A name with its qualifiers."""
+        if not self.named():
+            self.fail()
+        self.at += 1
+        while self.word() == "." and self.kind(1) in ("word", "quoted"):
+            self.at += 2
+
+    def several(self, one) -> None:
+        one()
+        while self.take(","):
+            one()
+
+    def listed(self, one) -> None:
+        self.need("(")
+        self.several(one)
+        self.need(")")
+
+    def loose(self, stop: set[str], banned: set[str] = _STARTS) -> None:
+        """Tokens up to a word of ``stop`` or the end, parentheses balanced, no word of ``banned`` outside them."""
+        depth = 0
+        while self.at < len(self.tokens) and (depth or self.word() not in stop):
+            if self.word() == ";" or (self.word() in banned and not depth and self.word(-1) not in ("FOR", "ON", ",")):
+                self.fail()
+            depth += (self.word() == "(") - (self.word() == ")")
+            if depth < 0:
+                self.fail()
+            self.at += 1
+        if depth:
+            self.fail()
+
+    # -- expressions
+
+    def condition(self) -> None:
+        self.both()
+        while self.take("OR"):
+            self.both()
+
+    def both(self) -> None:
+        self.predicate()
+        while self.take("AND"):
+            self.predicate()
+
+    def predicate(self) -> None:
+        while self.take("NOT"):
+            pass
+        if self.take("EXISTS"):
+            self.need("(")
+            self.query()
+            self.need(")")
+            return
+        self.sum()
+        if self.word() in _COMPARED:
+            self.at += 1
+            if self.word() in ("ANY", "ALL", "SOME") and self.word(1) == "(":
+                self.at += 1
+            self.sum()
+        elif self.take("IS"):
+            self.take("NOT")
+            if self.take("DISTINCT"):
+                self.need("FROM")
+                self.sum()
+            else:
+                self.need("NULL")
+        else:
+            negated = self.take("NOT")
+            if self.take("IN"):
+                self.sum()
+            elif self.take("BETWEEN"):
+                self.sum()
+                self.need("AND")
+                self.sum()
+            elif self.take("LIKE"):
+                self.sum()
+                if self.take("ESCAPE"):
+                    self.sum()
+            elif negated:
+                self.fail()
+
+    def sum(self) -> None:
+        self.factor()
+        while True:
+            if self.word() in ("+", "-", "*", "/", "%", "||", "CONCAT"):
+                self.at += 1
+                self.factor()
+            elif self.kind() == "number" and self.tokens[self.at][1][0] in "+-":  # a sign read with its number
+                self.factor()
+            else:
+                return
+
+    def factor(self) -> None:
+        while self.word() in ("+", "-"):
+            self.at += 1
+        self.primary()
+        if self.word() in _UNITS:
+            self.at += 1
+
+    def host(self) -> None:
+        self.need(":")
+        self.name()
+        if self.word() == ":" or self.take("INDICATOR"):
+            self.need(":")
+            self.name()
+
+    def primary(self) -> None:
+        if self.kind() in ("literal", "number") or self.word() in ("NULL", "?"):
+            self.at += 1
+        elif self.word() == ":":
+            self.host()
+        elif self.take("CASE"):
+            if self.word() != "WHEN":
+                self.sum()
+            if self.word() != "WHEN":
+                self.fail()
+            while self.take("WHEN"):
+                self.condition()
+                self.need("THEN")
+                self.condition()
+            if self.take("ELSE"):
+                self.condition()
+            self.need("END")
+        elif self.word() in ("CAST", "XMLCAST") and self.word(1) == "(":
+            self.at += 2
+            self.condition()
+            self.need("AS")
+            self.type()
+            self.need(")")
+        elif self.take("("):
+            if self.word() in ("SELECT", "WITH", "VALUES"):
+                self.query()
+            else:
+                self.several(self.condition)
+            self.need(")")
+        elif self.word() in ("CURRENT", "SESSION") and self.kind(1) == "word" and self.word(1) not in _RESERVED:
+            self.at += 2
+            if self.word() in ("ZONE", "SQLID", "USER"):
+                self.at += 1
+        elif self.word() in ("LEFT", "RIGHT", "INSERT", "VALUES") and self.word(1) == "(":
+            self.at += 1
+            self.listed(self.condition)
+        elif self.word() in ("NEXT", "PREVIOUS") and self.word(1) in ("VALUE", "VAL") and self.word(2) == "FOR":
+            self.at += 3
+            self.name()
+        else:
+            self.name()
+            if self.take("("):
+                self.arguments()
+                if self.take("OVER"):
+                    self.need("(")
+                    self.loose({")"}, set())
+                    self.need(")")
+
+    def arguments(self) -> None:
+        if self.take(")"):
+            return
+        if self.word() in ("DISTINCT", "ALL"):
+            self.at += 1
+        if self.take("*"):
+            self.need(")")
+        elif self.word() in ("SELECT", "WITH"):
+            self.query()
+            self.need(")")
+        else:
+            self.several(self.condition)
+            self.loose({")"}, set())  # keywords between arguments, as of TRIM or XMLTABLE
+            self.need(")")
+
+    def type(self) -> None:
+        if self.word() in _TYPES:
+            self.at += 1
+            if self.word() in ("VARYING", "PRECISION", "LARGE"):
+                self.at += 1 + (self.word() == "LARGE")
+        else:
+            self.name()
+        if self.take("("):
+            if self.kind() != "number":
+                self.fail()
+            self.at += 1
+            if self.word() in ("K", "M", "G", "OCTETS", "CODEUNITS32"):
+                self.at += 1
+            if self.take(","):
+                if self.kind() != "number":
+                    self.fail()
+                self.at += 1
+            self.need(")")
+        if self.word() == "FOR" and self.word(2) == "DATA":
+            self.at += 3
+        if self.word() in ("WITH", "WITHOUT") and self.word(1) == "TIME":
+            self.at += 3
+
+    # -- queries and changes
+
+    def query(self) -> None:
+        if self.take("WITH"):
+            self.several(self.common)
+        self.term()
+        while self.word() in ("UNION", "EXCEPT", "INTERSECT"):
+            self.at += 1
+            self.take("ALL") or self.take("DISTINCT")
+            self.term()
+        while True:
+            if self.take("ORDER", "BY"):
+                self.several(self.ordered)
+            elif self.take("FETCH"):
+                self.one_of("FIRST", "NEXT")
+                if self.kind() == "number":
+                    self.at += 1
+                self.one_of("ROW", "ROWS")
+                self.need("ONLY")
+            elif self.word() == "FOR" and self.word(1) in ("UPDATE", "READ", "FETCH"):
+                self.at += 1
+                if self.take("UPDATE"):
+                    if self.take("OF"):
+                        self.several(self.name)
+                else:
+                    self.at += 1
+                    self.need("ONLY")
+            elif self.word() == "WITH" and self.word(1) in ("UR", "CS", "RS", "RR"):
+                self.at += 2
+            elif self.word() in ("OPTIMIZE", "QUERYNO", "OFFSET", "LIMIT"):
+                self.at += 1
+                self.take("FOR")
+                if self.kind() != "number":
+                    self.fail()
+                self.at += 1
+                self.take("ROWS") or self.take("ROW")
+            else:
+                return
+
+    def common(self) -> None:
+        self.name()
+        if self.word() == "(":
+            self.listed(self.name)
+        self.need("AS", "(")
+        self.query()
+        self.need(")")
+
+    def ordered(self) -> None:
+        self.sum()
+        self.take("ASC") or self.take("DESC")
+        if self.take("NULLS"):
+            self.one_of("FIRST", "LAST")
+
+    def term(self) -> None:
+        if self.take("("):
+            self.query()
+            self.need(")")
+        elif self.take("VALUES"):
+            self.several(self.condition)
+            if self.take("INTO"):
+                self.several(self.sum)
+        else:
+            self.need("SELECT")
+            self.take("DISTINCT") or self.take("ALL")
+            self.several(self.item)
+            if self.take("INTO"):
+                self.several(self.host if self.hosts else self.sum)
+            self.need("FROM")
+            self.several(self.joined)
+            if self.take("WHERE"):
+                self.condition()
+            if self.take("GROUP", "BY"):
+                self.several(self.condition)
+            if self.take("HAVING"):
+                self.condition()
+
+    def item(self) -> None:
+        if self.take("*"):
+            return
+        if self.named() and self.word(1) == "." and self.word(2) == "*":
+            self.at += 3
+            return
+        self.condition()
+        if self.take("AS") or self.named():
+            self.name()
+
+    def alias(self) -> None:
+        if self.take("AS") or self.named():
+            self.name()
+            if self.word() == "(":
+                self.listed(self.name)
+
+    def source(self) -> None:
+        if self.word() in ("TABLE", "FINAL", "OLD", "NEW", "UNNEST", "XMLTABLE") and ("(" in (self.word(1), self.word(2))):
+            while not self.take("("):
+                self.at += 1
+            self.loose({")"}, set())
+            self.need(")")
+        elif self.take("("):
+            if self.word() in ("SELECT", "WITH", "VALUES", "("):
+                self.query()
+            else:
+                self.joined()
+            self.need(")")
+        else:
+            self.name()
+        self.alias()
+
+    def joined(self) -> None:
+        self.source()
+        while self.word() in ("JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS"):
+            cross = self.take("CROSS")
+            if not cross and self.word() != "JOIN":
+                self.at += 1
+                self.take("OUTER")
+            self.need("JOIN")
+            self.source()
+            if not cross:
+                self.need("ON")
+                self.condition()
+
+    def value(self) -> None:
+        if not self.take("DEFAULT"):
+            self.condition()
+
+    def change(self) -> bool:
+        """INSERT, UPDATE, DELETE, CALL or a query; False if it is none of them."""
+        if self.take("INSERT"):
+            self.need("INTO")
+            self.name()
+            if self.word() == "(" and self.word(1) not in ("SELECT", "WITH"):
+                self.listed(self.name)
+            if self.take("VALUES"):
+                self.several(lambda: self.listed(self.value) if self.word() == "(" else self.value())
+            else:
+                self.query()
+        elif self.take("UPDATE"):
+            self.name()
+            self.alias()
+            self.need("SET")
+            self.several(self.assignment)
+            self.where()
+        elif self.take("DELETE"):
+            self.need("FROM")
+            self.name()
+            self.alias()
+            self.where()
+        elif self.take("CALL"):
+            self.host() if self.word() == ":" else self.name()
+            if self.take("("):
+                self.arguments()
+        elif self.word() in ("SELECT", "WITH", "VALUES", "("):
+            self.query()
+        else:
+            return False
+        return True
+
+    def where(self) -> None:
+        if self.take("WHERE") and not self.take("CURRENT", "OF"):
+            self.condition()
+        elif self.word(-1) == "OF":
+            self.name()
+        if self.word() == "WITH" and self.word(1) in ("UR", "CS", "RS", "RR"):
+            self.at += 2
+
+    def assignment(self) -> None:
+        if self.word() == "(":
+            self.listed(self.name)
+        elif self.word() == ":":
+            self.host()
+        else:
+            self.name()
+        self.need("=")
+        self.value()
+
+    # -- definitions
+
+    def script(self) -> None:
+        if not self.tokens:
+            raise Broken("no statement")
+        while self.at < len(self.tokens):
+            self.statement()
+            self.need(";")
+
+    def statement(self) -> None:
+        first = self.word()
+        if first == "SET" and self.word(1) != "CURRENT" and self.word(2) == "=":
+            self.at += 1
+            self.several(self.assignment)
+        elif first == "CREATE" or first == "ALTER" or first == "DROP":
+            self.definition()
+        elif first == "BEGIN":
+            self.block()
+        elif first in _LOOSE and first != "CALL":
+            self.at += 1
+            if first in ("GRANT", "REVOKE"):
+                self.loose({"TO", "FROM"}, {"CREATE", "DROP", "COMMENT", "COMMIT"})
+                self.at += 1
+                self.several(self.name)
+            if first == "COMMENT":
+                self.need("ON")
+                self.loose({"IS"})
+                self.need("IS")
+            self.loose({";"}, set() if first in ("MERGE", "DECLARE", "EXPLAIN") else _STARTS)
+        elif not self.change():
+            self.fail()
+
+    def definition(self) -> None:
+        first = self.one_of("CREATE", "ALTER", "DROP")
+        self.take("OR", "REPLACE")
+        if self.word() not in _OBJECTS:
+            self.fail()
+        if first == "CREATE" and self.take("TABLE"):
+            self.name()
+            if self.take("LIKE"):
+                self.name()
+            elif self.take("AS"):
+                self.need("(")
+                self.query()
+                self.need(")")
+            else:
+                self.listed(self.part)
+            self.loose({";"})
+        elif first == "CREATE" and (self.take("UNIQUE", "INDEX") or self.take("INDEX")):
+            self.name()
+            self.need("ON")
+            self.name()
+            self.listed(self.ordered)
+            self.loose({";"})
+        elif first == "CREATE" and self.take("VIEW"):
+            self.name()
+            if self.word() == "(":
+                self.listed(self.name)
+            self.need("AS")
+            self.query()
+            if self.take("WITH"):
+                self.loose({"CHECK"})
+                self.need("CHECK", "OPTION")
+        elif first == "CREATE" and self.take("TRIGGER"):
+            self.trigger()
+        elif first == "CREATE" and self.word() in ("PROCEDURE", "FUNCTION"):
+            self.at += 1
+            self.name()
+            self.loose({"BEGIN", "RETURN", ";", "SELECT", "UPDATE", "INSERT", "DELETE", "SET", "CALL"}, {"CREATE", "DROP", "ALTER", "COMMENT"})
+            if self.word() not in (";", ""):
+                self.block_part()
+        elif first == "ALTER" and self.take("TABLE"):
+            self.name()
+            if self.word() not in ("ADD", "ALTER", "DROP", "RENAME", "SET", "DATA", "AUDIT", "VALIDPROC", "ACTIVATE", "PCTFREE", "ROTATE", "APPEND", "VOLATILE", "NOT", "CCSID", "ORGANIZE", "ENABLE", "DISABLE"):
+                self.fail()
+            while self.at < len(self.tokens) and self.word() != ";":
+                if self.take("ADD"):
+                    if self.word() in ("PARTITION", "VERSIONING", "CLONE", "MATERIALIZED", "RESTRICT", "PERIOD"):
+                        self.loose({";", "ADD"})
+                    else:
+                        self.take("COLUMN")
+                        self.part()
+                else:
+                    self.at += 1
+                    self.loose({";", "ADD"}, {"CREATE", "INSERT", "GRANT", "COMMENT"})
+        else:
+            self.at += 1
+            while self.word() in _OBJECTS:
+                self.at += 1
+            if not self.named():
+                self.fail()
+            self.loose({";"})
+
+    def part(self) -> None:
+        """A column or a constraint of a table."""
+        if self.take("CONSTRAINT"):
+            self.name()
+        if self.word() in ("PRIMARY", "FOREIGN", "UNIQUE", "CHECK", "PERIOD"):
+            self.constraint()
+            return
+        if self.word(-1) not in ("(", ",", "ADD", "COLUMN"):
+            self.fail()
+        if self.kind() not in ("word", "quoted"):
+            self.fail()
+        self.at += 1
+        self.type()
+        while True:
+            if self.take("NOT"):
+                self.need("NULL") if self.word() == "NULL" else self.one_of("HIDDEN", "LOGGED", "COMPACT")
+            elif self.take("WITH", "DEFAULT") or self.take("DEFAULT"):
+                if self.kind() in ("literal", "number") or self.word() in ("NULL", "CURRENT", "USER", "SESSION_USER", "-", "+") or (self.named() and self.word(1) == "("):
+                    self.factor()
+            elif self.take("NULL") or self.take("IMPLICITLY", "HIDDEN") or self.take("LOGGED") or self.take("COMPACT"):
+                pass
+            elif self.take("CONSTRAINT"):
+                self.name()
+            elif self.word() == "GENERATED" or (self.word() == "AS" and self.word(1) == "IDENTITY"):
+                if self.take("GENERATED"):
+                    self.take("ALWAYS") or self.need("BY", "DEFAULT")
+                if self.take("AS") and not self.take("IDENTITY"):
+                    if self.word() == "(":
+                        self.primary()
+                    else:
+                        self.need("ROW")
+                        self.loose({",", ")"})
+                elif self.take("FOR"):
+                    self.loose({",", ")"}, set())
+                if self.word() == "(":
+                    self.at += 1
+                    self.loose({")"})
+                    self.need(")")
+            elif self.word() in ("PRIMARY", "UNIQUE", "CHECK", "REFERENCES"):
+                self.constraint()
+            elif self.word() in ("CCSID", "FIELDPROC"):
+                self.at += 2
+            elif self.take("INLINE", "LENGTH"):
+                self.at += 1
+            elif self.take("COMPRESS"):
+                self.take("SYSTEM", "DEFAULT")
+            else:
+                return
+
+    def constraint(self) -> None:
+        if self.take("PRIMARY"):
+            self.need("KEY")
+            if self.word() == "(":
+                self.listed(self.name)
+        elif self.take("UNIQUE"):
+            if self.word() == "(":
+                self.listed(self.name)
+        elif self.take("CHECK"):
+            self.need("(")
+            self.condition()
+            self.need(")")
+        elif self.take("PERIOD"):
+            self.loose({",", ")"})
+        else:
+            if self.take("FOREIGN"):
+                self.need("KEY")
+                if self.word() != "(":
+                    self.name()
+                self.listed(self.name)
+            self.need("REFERENCES")
+            self.name()
+            if self.word() == "(":
+                self.listed(self.name)
+            while self.take("ON"):
+                self.one_of("DELETE", "UPDATE")
+                self.take("SET", "NULL") or self.take("SET", "DEFAULT") or self.take("NO", "ACTION") or self.one_of("CASCADE", "RESTRICT")
+        while self.word() in ("ENFORCED", "NOT") and "ENFORCED" in (self.word(), self.word(1)):
+            self.at += 1
+
+    def trigger(self) -> None:
+        self.name()
+        self.take("NO", "CASCADE")
+        if not self.take("INSTEAD", "OF"):
+            self.one_of("BEFORE", "AFTER")
+        while True:
+            if self.one_of("INSERT", "DELETE", "UPDATE") == "UPDATE" and self.take("OF"):
+                self.several(self.name)
+            if not self.take("OR"):
+                break
+        self.need("ON")
+        self.name()
+        if self.take("REFERENCING"):
+            if self.word() not in ("NEW", "OLD", "NEW_TABLE", "OLD_TABLE"):
+                self.fail()
+            while self.word() in ("NEW", "OLD", "NEW_TABLE", "OLD_TABLE"):
+                self.at += 1
+                self.take("ROW") or self.take("TABLE")
+                self.take("AS")
+                self.name()
+        if self.take("FOR"):
+            self.need("EACH")
+            self.one_of("ROW", "STATEMENT")
+        self.take("MODE", "DB2SQL")
+        self.take("NOT", "SECURED") or self.take("SECURED")
+        if self.take("WHEN"):
+            self.need("(")
+            self.condition()
+            self.need(")")
+        self.block_part()
+
+    def block(self) -> None:
+        self.need("BEGIN")
+        self.take("NOT")
+        self.take("ATOMIC")
+        self.block_parts({"END"})
+        self.need("END")
+        if self.named():
+            self.at += 1
+
+    def block_parts(self, stop: set[str]) -> None:
+        """Statements, each with its terminator; at least one."""
+        self.block_part()
+        self.need(";")
+        while self.at < len(self.tokens) and self.word() not in stop:
+            self.block_part()
+            self.need(";")
+
+    def block_part(self) -> None:
+        if self.kind() == "word" and self.word(1) == ":":
+            self.at += 2
+        first = self.word()
+        if first == "BEGIN":
+            self.block()
+        elif self.take("IF"):
+            self.condition()
+            self.need("THEN")
+            self.block_parts({"ELSE", "ELSEIF", "END"})
+            while self.take("ELSEIF"):
+                self.condition()
+                self.need("THEN")
+                self.block_parts({"ELSE", "ELSEIF", "END"})
+            if self.take("ELSE"):
+                self.block_parts({"END"})
+            self.need("END", "IF")
+        elif self.take("CASE"):
+            if self.word() != "WHEN":
+                self.sum()
+            while self.take("WHEN"):
+                self.condition()
+                self.need("THEN")
+                self.block_parts({"WHEN", "ELSE", "END"})
+            if self.take("ELSE"):
+                self.block_parts({"END"})
+            self.need("END", "CASE")
+        elif first in ("WHILE", "FOR", "LOOP", "REPEAT"):
+            self.at += 1
+            if first == "WHILE":
+                self.condition()
+                self.need("DO")
+            elif first == "FOR":
+                self.loose({"DO"}, set())
+                self.need("DO")
+            self.block_parts({"END", "UNTIL"})
+            if first == "REPEAT":
+                self.need("UNTIL")
+                self.condition()
+            self.need("END", first)
+            if self.named():
+                self.at += 1
+        elif first == "SET":
+            self.at += 1
+            self.several(self.assignment)
+        elif first in ("CREATE", "ALTER", "DROP"):
+            self.definition()
+        elif first in _LOOSE and first != "CALL":
+            handler = first == "DECLARE" and "HANDLER" in (self.word(2), self.word(1))
+            self.at += 1
+            if handler:
+                self.loose({"BEGIN", "SET", "INSERT", "UPDATE", "DELETE", "CALL", "SIGNAL", "RESIGNAL", "GET", "RETURN", "IF", ";"}, set())
+                if self.word() != ";":
+                    self.block_part()
+            else:
+                self.loose({";"}, {"CREATE", "COMMENT", "BEGIN"})
+        elif not self.change():
+            self.fail()
+
+
+def ddl(text: str) -> None:
+    text = "\n".join(_lines(text))
+    tokens, at, line, counted = [], 0, 1, 0
+    while at < len(text):
+        m = _SQL_TOKEN.match(text, at)
+        if not m:
+            raise Broken(f"character {text[at]!r} or open literal in line {text.count(chr(10), 0, at) + 1}")
+        if m.lastgroup:
+            line, counted = line + text.count("\n", counted, at), at
+            if m.lastgroup == "literal" and "\n" in m[0]:
+                raise Broken("literal over the end of a line")
+            tokens.append((m.lastgroup, m[0] if m.lastgroup in ("literal", "quoted") else m[0].upper(), line))
+        at = m.end()
+    _Sql(tokens).script()
+
+
 # ---------------------------------------------------------------- COBOL
 
 _COBOL_TOKEN = re.compile(
     r"\s+|(?P<literal>'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\")|(?P<pseudo>==.*?==)|(?P<number>[+-]?\d+(?:\.\d+)?(?![\w-]))"
-    r"|(?P<word>[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*)|(?P<mark>\*\*|>=|<=|<>|[.,;:()=<>+*/&-])"
+    r"|(?P<word>[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*)|(?P<mark>\*\*|>=|<=|<>|!=|\|\||[.,;:()=<>+*/&%?-])"
 )
 _PICTURE = re.compile(r"[+\-]?(?:[ABEGNPSVXZ9/0,.+\-*$]|CR|DB)(?:\(\d+\))?(?:(?:[ABEGNPSVXZ9/0,.+\-*$]|CR|DB)(?:\(\d+\))?)*", re.I)
 _FIGURATIVE = set("SPACE SPACES ZERO ZEROS ZEROES HIGH-VALUE HIGH-VALUES LOW-VALUE LOW-VALUES QUOTE QUOTES NULL NULLS".split())
 _VERBS = set(
-    "ACCEPT ADD ALTER CALL CANCEL CLOSE COMPUTE CONTINUE DELETE DISPLAY DIVIDE ENTRY EVALUATE EXEC EXIT GO GOBACK IF INITIALIZE INSPECT MERGE MOVE MULTIPLY OPEN PERFORM READ RELEASE RETURN REWRITE SEARCH SET SORT START STOP STRING SUBTRACT UNSTRING WRITE".split()
+    "ACCEPT ADD ALTER CALL CANCEL CLOSE COMPUTE CONTINUE DELETE DISPLAY DIVIDE ENTRY EVALUATE EXEC EXIT GO GOBACK IF INITIALIZE INSPECT MERGE MOVE MULTIPLY OPEN PERFORM READ RELEASE RETURN REWRITE SEARCH SET SORT START STOP STRING SUBTRACT UNSTRING WRITE XML JSON INVOKE ALLOCATE".split()
 )
 _SCOPED = {"IF", "EVALUATE", "READ", "PERFORM", "STRING", "UNSTRING", "CALL", "COMPUTE", "ADD", "SUBTRACT", "MULTIPLY", "DIVIDE", "WRITE", "REWRITE", "DELETE", "START", "SEARCH", "RETURN"}
 _ENDS = {f"END-{v}" for v in _SCOPED}
@@ -64,7 +791,7 @@ _OPERATORS = {"=", "<", ">", ">=", "<=", "<>"}
 # Statements as patterns over one letter per token: I name, L literal, N number, F figurative constant, other words in < >.
 _V = "[ILNF]"
 _Q = r"(?:I(?:(?:<OF>|<IN>)I)*(?:\([INF:+\-*/,]+\))*)"
-_X = rf"(?:{_Q}|[LNF])"
+_X = rf"(?:(?:<LENGTH>|<ADDRESS>)<OF>{_Q}|<ALL>[LF]|{_Q}|[LNF])"
 _EXPR = rf"(?:[-+]?\(*[-+]?{_X}\)*(?:[-+*/^]\(*[-+]?{_X}\)*|N\)*)*)"
 _TEST = rf"(?:(?:<NOT>)?\(*{_EXPR}(?:(?:<IS>)?(?:<NOT>)?(?:[=<>]|>=|<=|<>|<EQUAL>(?:<TO>)?|<GREATER>(?:<THAN>)?|<LESS>(?:<THAN>)?){_EXPR}|(?:<IS>)?(?:<NOT>)?(?:<NUMERIC>|<ALPHABETIC>|<POSITIVE>|<NEGATIVE>|F))?\)*)"
 _COND = rf"{_TEST}(?:(?:<AND>|<OR>){_TEST})*"
@@ -95,7 +822,7 @@ _STATEMENTS = {
     "INITIALIZE": rf"(?:{_Q},?)+", "CANCEL": r"(?:[LI],?)+", "ENTRY": rf"L(?:<USING>(?:{_Q},?)+)?",
     "SET": rf"(?:{_Q},?)+(?:<TO>(?:<TRUE>|<FALSE>|{_X})|(?:I<BY>{_X}))", "IF": rf"{_COND}(?:<THEN>)?", "EVALUATE": rf"(?:{_COND}|<TRUE>|<FALSE>)(?:<ALSO>(?:{_COND}|<TRUE>|<FALSE>))*",
     "WHEN": rf"<OTHER>|(?:<NOT>)?(?:{_COND}|<TRUE>|<FALSE>)(?:(?:<THRU>|<THROUGH>){_X})?(?:<ALSO>(?:{_COND}|<TRUE>|<FALSE>))*", "ELSE": "",
-    "SEARCH": r"(?:<ALL>)?I(?:<VARYING>I)?", "SORT": ".+", "MERGE": ".+", "RELEASE": rf"I(?:<FROM>{_X})?", "ALTER": ".+",
+    "SEARCH": r"(?:<ALL>)?I(?:<VARYING>I)?", "SORT": ".+", "MERGE": ".+", "RELEASE": rf"I(?:<FROM>{_X})?", "ALTER": ".+", "XML": ".+", "JSON": ".+", "INVOKE": ".+", "ALLOCATE": ".+",
 }
 _LOOP = rf"(?:(?:<WITH>)?<TEST>(?:<BEFORE>|<AFTER>))?(?:<VARYING>{_Q}<FROM>{_X}<BY>{_X}<UNTIL>{_COND}(?:<AFTER>{_Q}<FROM>{_X}<BY>{_X}<UNTIL>{_COND})*|<UNTIL>{_COND}|{_X}<TIMES>)"
 _STATEMENTS = {k: re.compile(v) for k, v in _STATEMENTS.items()}
@@ -150,6 +877,18 @@ def _cobol_tokens(lines: list[tuple[int, str]]) -> list[tuple[str, str, int, boo
     return out
 
 
+_SUBSCRIPT = re.compile(r"(?<!<FUNCTION>)I\([INF:+\-*/,]+\)")
+_INNER = re.compile(r"<FUNCTION>(?:I|<[A-Z0-9-]+>)(?:\([^()]*\)){0,2}")
+
+
+def _functions(code: str) -> str:
+    """Calls of functions become one identifier each, the innermost first."""
+    before = ""
+    while before != code:
+        before, code = code, _INNER.sub("I", _SUBSCRIPT.sub("I", code))
+    return code
+
+
 def _code(tokens: list[tuple[str, str, int, bool]]) -> str:
     """Tokens of a statement, one letter or bracketed word each."""
     out = []
@@ -170,7 +909,7 @@ def _code(tokens: list[tuple[str, str, int, bool]]) -> str:
             out.append("?")
         else:
             out.append("I")
-    return "".join(out)
+    return _functions("".join(out)) if "<FUNCTION>" in out else "".join(out)
 
 
 def _data_entries(tokens: list[tuple[str, str, int, bool]], at: int, stop: set[str], copies: bool) -> int:
@@ -273,9 +1012,16 @@ def cobol(text: str) -> None:
     if at < len(tokens) and tokens[at][1] == "ENVIRONMENT":
         at = _expect(tokens, at, "ENVIRONMENT", "DIVISION", ".")
         while at < len(tokens) and tokens[at][1] not in ("DATA", "PROCEDURE"):
-            at += 1
-            while at < len(tokens) and tokens[at - 1][1] != ".":
-                at += 1
+            end = at
+            while end < len(tokens) and tokens[end][1] != ".":
+                end += 1
+            if end == len(tokens) or any(in_a for _, _, _, in_a in tokens[at + 1 : end]):
+                raise Broken(f"no period after the entry of line {tokens[at][2]}")
+            if tokens[at][1] == "SELECT":
+                words = [w for _, w, _, _ in tokens[at + 1 : end] if w != "OPTIONAL"]
+                if words[1:2] != ["ASSIGN"] or len(words) < 3 or words.count("ASSIGN") > 1:
+                    raise Broken(f"SELECT in line {tokens[at][2]}")
+            at = end + 1
     if at < len(tokens) and tokens[at][1] == "DATA":
         at = _expect(tokens, at, "DATA", "DIVISION", ".")
         while at < len(tokens) and tokens[at][1] in ("FILE", "WORKING-STORAGE", "LOCAL-STORAGE", "LINKAGE"):
@@ -313,6 +1059,8 @@ def _procedure(tokens: list[tuple[str, str, int, bool]], at: int) -> None:
             if at + 1 >= len(tokens) or tokens[at + 1][1] != "." or not re.search("[A-Z]", word):
                 raise Broken(f"paragraph name in line {n}")
             at += 2
+        elif word == "END" and in_a and ended and at + 1 < len(tokens) and tokens[at + 1][1] == "DECLARATIVES":
+            at = _expect(tokens, at + 2, ".")
         elif word == "END" and in_a and ended:
             at = _expect(tokens, at, "END", "PROGRAM")
             if at >= len(tokens) or tokens[at][0] not in ("word", "literal"):
@@ -320,13 +1068,16 @@ def _procedure(tokens: list[tuple[str, str, int, bool]], at: int) -> None:
             at = _expect(tokens, at + 1, ".")
             if at < len(tokens):
                 raise Broken(f"text after the program in line {tokens[at][2]}")
-        elif word == "COPY" and ended:
+        elif word in ("EJECT", "SKIP1", "SKIP2", "SKIP3") and ended:
+            at += 2 if at + 1 < len(tokens) and tokens[at + 1][1] == "." else 1
+        elif word in ("COPY", "USE", "REPLACE") and ended:
             end = at
             while end < len(tokens) and tokens[end][1] != ".":
                 end += 1
             if end == len(tokens):
-                raise Broken(f"no period after COPY in line {n}")
-            _copy(tokens[at + 1 : end], n)
+                raise Broken(f"no period after {word} in line {n}")
+            if word == "COPY":
+                _copy(tokens[at + 1 : end], n)
             at = end + 1
         elif word in _ENDS:
             verb = word[4:]
@@ -372,6 +1123,7 @@ def _holds(stack: list[list]) -> None:
 
 
 def _statement(verb: str, operands: list[tuple[str, str, int, bool]], n: int, stack: list[list]) -> None:
+    _balanced(operands, n)
     code = _code(operands)
     tail = _EXCEPTION.search(code)
     conditional = bool(tail) and verb in _SCOPED and verb not in ("IF", "EVALUATE", "PERFORM")
@@ -405,29 +1157,40 @@ def _statement(verb: str, operands: list[tuple[str, str, int, bool]], n: int, st
         stack.append([verb, n, "empty"])
 
 
-_EXEC_SQL = re.compile(
-    r"<SELECT>(?:\*|W(?:,W)*)<INTO>:W(?:,:W)*<FROM>W(?:,W)*(?:<WHERE>(?P<c>W(?:[=<>]|<=|>=|<>)(?::W|[LNW]))(?:(?:<AND>|<OR>)(?&c))*)?".replace("(?P<c>", "(?:").replace("(?&c)", r"W(?:[=<>]|<=|>=|<>)(?::W|[LNW])")
-    + r"|<UPDATE>W<SET>W=(?::W|[LNW])(?:,W=(?::W|[LNW]))*(?:<WHERE>W(?:[=<>]|<=|>=|<>)(?::W|[LNW])(?:(?:<AND>|<OR>)W(?:[=<>]|<=|>=|<>)(?::W|[LNW]))*)?"
-    r"|<DELETE><FROM>W(?:<WHERE>W(?:[=<>]|<=|>=|<>)(?::W|[LNW])(?:(?:<AND>|<OR>)W(?:[=<>]|<=|>=|<>)(?::W|[LNW]))*)?"
-    r"|<INSERT><INTO>W(?:\(W(?:,W)*\))?<VALUES>\((?::W|[LNW])(?:,(?::W|[LNW]))*\)"
-)
-_SQL_WORDS = set("SELECT INTO FROM WHERE AND OR UPDATE SET DELETE INSERT VALUES".split())
-
-
 def _exec(body: list[tuple[str, str, int, bool]], n: int) -> None:
-    if not body or body[0][1] not in ("SQL", "CICS", "DLI"):
+    """What stands between EXEC and END-EXEC: SQL by the grammar of SQL, else by its delimiters."""
+    if len(body) < 2 or body[0][1] not in ("SQL", "CICS", "DLI"):
         raise Broken(f"EXEC in line {n}")
+    _balanced(body, n)
+    if body[0][1] != "SQL":
+        return
+    sql = _Sql([(k if k in ("literal", "number") else "mark" if k == "mark" else "word", w, line) for k, w, line, _ in body[1:]], hosts=True)
+    if sql.word() == "DECLARE" and "CURSOR" in (sql.word(2), sql.word(3), sql.word(4)):
+        sql.at += 1
+        sql.name()
+        sql.loose({"FOR"}, {"SELECT"})
+        sql.need("FOR")
+        if sql.word() in ("SELECT", "WITH", "("):
+            sql.query()
+        else:
+            sql.name()
+    elif sql.word() in ("BEGIN", "END") and sql.word(1) == "DECLARE":
+        return
+    else:
+        sql.statement()
+    sql.take(";")
+    if sql.at < len(sql.tokens):
+        sql.fail()
+
+
+def _balanced(tokens: list[tuple[str, str, int, bool]], n: int) -> None:
     depth = 0
-    for _, word, _, _ in body:
+    for _, word, _, _ in tokens:
         depth += (word == "(") - (word == ")")
         if depth < 0:
-            raise Broken(f"parenthesis in EXEC of line {n}")
-    if depth or len(body) < 2:
-        raise Broken(f"EXEC of line {n}")
-    if body[0][1] == "SQL" and body[1][1] in ("SELECT", "UPDATE", "DELETE", "INSERT"):
-        code = "".join("L" if k == "literal" else "N" if k == "number" else w if k == "mark" else f"<{w}>" if w in _SQL_WORDS else "W" if k == "word" else "?" for k, w, _, _ in body[1:])
-        if not _EXEC_SQL.fullmatch(code):
-            raise Broken(f"SQL in line {n}")
+            break
+    if depth:
+        raise Broken(f"parenthesis in the statement of line {n}")
 
 
 # ---------------------------------------------------------------- JCL
@@ -442,62 +1205,81 @@ _DD_KEYS = set(
 _JOB_KEYS = set("CLASS MSGCLASS MSGLEVEL NOTIFY REGION TIME USER PASSWORD RESTART TYPRUN COND PRTY ADDRSPC BYTES CARDS LINES PAGES GROUP RD SECLABEL SCHENV PERFORM MEMLIMIT JOBRC JESLOG SYSAFF SYSTEM EMAIL CCSID UJOBCORR GDGBIAS DSENQSHR ACCT".split())
 
 
+class _Operands:
+    """The operand field of a statement over all its lines: a stack of parentheses and the open literal are carried along."""
+
+    def __init__(self) -> None:
+        self.parts, self.part, self.depth, self.open = [], "", 0, False
+
+    def feed(self, text: str, n: int) -> bool:
+        """Operands up to the first blank outside literals; whether the statement goes on."""
+        at = 0
+        while at < len(text):
+            c = text[at]
+            if self.open:
+                if c == "'":
+                    if text[at + 1 : at + 2] == "'":
+                        self.part += c
+                        at += 1
+                    else:
+                        self.open = False
+            elif c == "'":
+                self.open = True
+            elif c == "(":
+                self.depth += 1
+            elif c == ")":
+                self.depth -= 1
+                if self.depth < 0:
+                    raise Broken(f"parenthesis in line {n}")
+            elif c == " ":
+                break
+            elif c == "," and not self.depth:
+                self.parts.append(self.part)
+                self.part, c = "", ""
+            self.part += c
+            at += 1
+        return self.open or (at > 0 and text[at - 1] == ",")
+
+    def end(self, n: int) -> list[str]:
+        if self.open:
+            raise Broken(f"open literal in line {n}")
+        if self.depth:
+            raise Broken(f"parenthesis in line {n}")
+        if self.part or not self.parts:
+            self.parts.append(self.part)
+        return self.parts
+
+
 def _operands(text: str, n: int) -> tuple[list[str], bool]:
-    """Top-level operands up to the first blank outside literals, and whether the list goes on."""
-    parts, depth, at, start = [], 0, 0, 0
-    while at < len(text):
-        c = text[at]
-        if c == "'":
-            end = text.find("'", at + 1)
-            while end >= 0 and text[end : end + 2] == "''":
-                end = text.find("'", end + 2)
-            if end < 0:
-                raise Broken(f"open literal in line {n}")
-            at = end
-        elif c == "(":
-            depth += 1
-        elif c == ")":
-            depth -= 1
-            if depth < 0:
-                raise Broken(f"parenthesis in line {n}")
-        elif c == "," and not depth:
-            parts.append(text[start:at])
-            start = at + 1
-        elif c == " ":
-            break
-        at += 1
-    last = text[start:at]
-    goes_on = at > 0 and text[at - 1] == ","
-    if depth and not goes_on:
-        raise Broken(f"parenthesis in line {n}")
-    if last or not goes_on:
-        parts.append(last)
-    return parts, goes_on
+    """Operands of a statement on one line, and whether the list goes on."""
+    fields = _Operands()
+    goes_on = fields.feed(text, n)
+    return fields.end(n), goes_on
+
+
+#: What closes a scope of JCL, and which scope that is.
+_CLOSES = {"ENDIF": "IF", "PEND": "PROC", "ENDCNTL": "CNTL"}
 
 
 def jcl(text: str) -> None:
     lines = _lines(text)
     while lines and not lines[-1].strip():
         lines.pop()
-    first, at = True, 0
-    data = False  # in in-stream data
-    done = False
+    first, at, stack = True, 0, []  # stack: open IF, PROC and CNTL scopes
+    data: tuple[str, bool] | None = None  # in in-stream data: its delimiter, and whether // cards end it too
     while at < len(lines):
         line, n = lines[at].rstrip(), at + 1
         at += 1
-        if line.startswith("//*"):
+        if data and not (line.startswith(data[0]) or (data[1] and line.startswith("//"))):
+            continue
+        if data and line.startswith(data[0]):
+            data = None
             continue
-        if line.startswith("/*"):
-            data = False
+        data = None
+        if line.startswith(("//*", "/*")) or line == "//":
             continue
         if not line.startswith("//"):
-            if data:
-                continue
             raise Broken(f"line {n} is no statement")
-        data = False
-        if line == "//":
-            done = True
-            continue
         m = _CARD.match(line)
         if not m:
             raise Broken(f"statement in line {n}")
@@ -508,38 +1290,64 @@ def jcl(text: str) -> None:
             raise Broken(f"name in line {n}")
         if first and op not in ("JOB", "PROC"):
             raise Broken(f"{op} comes first")
-        if op in ("JOB", "EXEC") and not name and op == "JOB":
+        if op == "JOB" and not name:
             raise Broken(f"no name in line {n}")
+        if op == "PROC" and not first or op == "CNTL":
+            stack.append([op, n])
         first = False
-        if op in ("IF", "ELSE", "ENDIF"):
+        if op == "IF":
+            while not re.search(r"(?i)(?:^|[ )])THEN(?: |$)", rest):
+                more = re.match(r"//[ ]+(\S.*)$", lines[at].rstrip()) if at < len(lines) else None
+                if not more or more[1].split(" ")[0].upper() in _OPERATIONS:
+                    raise Broken(f"IF without THEN in line {n}")
+                rest, at = f"{rest} {more[1]}", at + 1
+            test = re.split(r"(?i)(?:(?<=[ )])|^)THEN(?: |$)", rest)[0].strip()
+            if not test or test.count("(") != test.count(")") or not re.search(r"[A-Za-z0-9]", test):
+                raise Broken(f"IF in line {n}")
+            stack.append(["IF", n])
+            continue
+        if op == "ELSE":
+            if not stack or stack[-1][0] != "IF" or len(stack[-1]) > 2:
+                raise Broken(f"ELSE without IF in line {n}")
+            stack[-1].append("else")
             continue
-        parts, goes_on = _operands(rest, n)
+        if op in _CLOSES:
+            if not stack or stack[-1][0] != _CLOSES[op]:
+                raise Broken(f"{op} without {_CLOSES[op]} in line {n}")
+            stack.pop()
+            continue
+        fields = _Operands()
+        goes_on = fields.feed(rest, n)
         while goes_on:
+            if fields.open and len(line) < 71:
+                raise Broken(f"open literal in line {at}")
             while at < len(lines) and lines[at].startswith("//*"):
                 at += 1
             if at >= len(lines):
                 raise Broken("ends in a continued statement")
-            m = re.match(r"//[ ]{1,13}(\S.*)$", lines[at].rstrip())
-            if not m:
-                raise Broken(f"line {at + 1} does not continue the statement")
-            if m[1].split(" ")[0].upper() in _OPERATIONS:
+            line = lines[at].rstrip()
+            more = re.match(r"//[ ]{13}(.*)$" if fields.open else r"//[ ]{1,13}(\S.*)$", line[:71] if fields.open else line)
+            if not more or (not fields.open and more[1].split(" ")[0].upper() in _OPERATIONS):
                 raise Broken(f"line {at + 1} does not continue the statement")
-            more, goes_on = _operands(m[1], at + 1)
-            parts += more
+            goes_on = fields.feed(more[1], at + 1)
             at += 1
+        parts = fields.end(n)
         _card(op, parts, n)
-        data = op == "DD" and parts[0].upper() in ("*", "DATA")
+        if op == "DD" and parts[0].upper() in ("*", "DATA"):
+            ends = [p.split("=", 1)[1].strip("'") for p in parts if p.upper().startswith("DLM=")]
+            data = (ends[0], False) if ends else ("/*", parts[0] == "*")
     if first:
         raise Broken("no statement")
-    del done
+    if stack:
+        raise Broken(f"{stack[-1][0]} of line {stack[-1][1]} is not closed")
 
 
 def _card(op: str, parts: list[str], n: int) -> None:
     keyed = [p.split("=", 1) for p in parts]
     for k in keyed:
-        if len(k) == 2 and (not re.fullmatch(r"[A-Z@#$][A-Z0-9@#$]*(?:\.[A-Z@#$][A-Z0-9@#$]*)?", k[0], re.I) or not k[1]):
+        if len(k) == 2 and (not re.fullmatch(r"[A-Z@#$][A-Z0-9@#$]*(?:\.[A-Z@#$][A-Z0-9@#$]*)?", k[0], re.I) or not (k[1] or op in ("PROC", "SET") or (op == "EXEC" and "PGM" not in keyed[0][0].upper()))):
             raise Broken(f"operand in line {n}")
-        if len(k) == 2 and k[1][0] == "(" and k[1][-1] != ")":
+        if len(k) == 2 and k[1][:1] == "(" and k[1][-1] != ")":
             raise Broken(f"operand in line {n}")
     names = {k[0].upper().split(".")[0] for k in keyed if len(k) == 2}
     if op == "EXEC":
@@ -562,84 +1370,6 @@ def _card(op: str, parts: list[str], n: int) -> None:
         raise Broken(f"PROC operand in line {n}")
 
 
-# ---------------------------------------------------------------- DDL
-
-_SQL_TOKEN = re.compile(r"\s+|--[^\n]*|(?P<literal>'(?:[^']|'')*')|(?P<quoted>\"[^\"\n]+\")|(?P<number>\d+(?:\.\d+)?(?!\w))|(?P<word>[A-Za-z@#$_][\w@#$]*)|(?P<mark><=|>=|<>|\|\||[(),.;=<>+*/:-])")
-_ID = r"(?:W(?:\.W)?)"
-_IDS = rf"\({_ID}(?:,{_ID})*\)"
-_TYPE = r"(?:<(?:BIGINT|INTEGER|INT|SMALLINT|DATE|TIME|TIMESTAMP|REAL|DOUBLE|FLOAT)>(?:\(N\))?|<(?:DECIMAL|NUMERIC|DEC)>(?:\(N(?:,N)?\))?|<(?:CHAR|CHARACTER|VARCHAR|GRAPHIC|VARGRAPHIC|CLOB|BLOB|BINARY|VARBINARY)>(?:\(N\))?)"
-_REFERENCE = rf"<REFERENCES>{_ID}(?:{_IDS})?(?:<ON>(?:<DELETE>|<UPDATE>)(?:<CASCADE>|<RESTRICT>|<SET><NULL>|<NO><ACTION>))*"
-_ATOM = rf"(?:-?N|L|{_ID}|<NULL>|<CURRENT>W|<CURRENT><(?:DATE|TIME|TIMESTAMP)>)"
-_SUM = rf"(?:{_ATOM}(?:[-+*/]{_ATOM})*)"
-_COMPARE = rf"{_SUM}(?:(?:[=<>]|<=|>=|<>){_SUM}|<IS>(?:<NOT>)?<NULL>|(?:<NOT>)?<IN>\({_ATOM}(?:,{_ATOM})*\)|(?:<NOT>)?<BETWEEN>{_SUM}<AND>{_SUM}|(?:<NOT>)?<LIKE>L)"
-_WHERE = rf"(?:{_COMPARE}(?:(?:<AND>|<OR>){_COMPARE})*)"
-_CONSTRAINT = rf"(?:<CONSTRAINT>{_ID})?(?:<PRIMARY><KEY>{_IDS}|<UNIQUE>{_IDS}|<FOREIGN><KEY>{_IDS}{_REFERENCE}|<CHECK>\({_WHERE}\))"
-_COLUMN = rf"W{_TYPE}(?:<NOT><NULL>|(?:<WITH>)?<DEFAULT>(?:{_ATOM})?|<PRIMARY><KEY>|<UNIQUE>|{_REFERENCE}|<CHECK>\({_WHERE}\))*"
-_SELECT = rf"<SELECT>(?:<DISTINCT>)?(?:\*|{_SUM}(?:<AS>W)?(?:,{_SUM}(?:<AS>W)?)*)<FROM>{_ID}W?(?:,{_ID}W?)*(?:(?:<INNER>|<LEFT>)?<JOIN>{_ID}W?<ON>{_WHERE})*(?:<WHERE>{_WHERE})?(?:<GROUP><BY>{_ID}(?:,{_ID})*)?"
-_DML = rf"(?:<INSERT><INTO>{_ID}(?:{_IDS})?(?:<VALUES>\({_SUM}(?:,{_SUM})*\)|{_SELECT})|<UPDATE>{_ID}<SET>{_ID}={_SUM}(?:,{_ID}={_SUM})*(?:<WHERE>{_WHERE})?|<DELETE><FROM>{_ID}(?:<WHERE>{_WHERE})?|<CALL>{_ID}\((?:{_SUM}(?:,{_SUM})*)?\))"
-_DDL = [
-    rf"<CREATE><TABLE>{_ID}\((?:{_COLUMN}|{_CONSTRAINT})(?:,(?:{_COLUMN}|{_CONSTRAINT}))*\)(?:<IN>{_ID})?",
-    rf"<CREATE>(?:<UNIQUE>)?<INDEX>{_ID}<ON>{_ID}\({_ID}(?:<ASC>|<DESC>)?(?:,{_ID}(?:<ASC>|<DESC>)?)*\)(?:<CLUSTER>)?",
-    rf"<CREATE><VIEW>{_ID}(?:{_IDS})?<AS>{_SELECT}",
-    rf"<CREATE><TRIGGER>{_ID}(?:<NO><CASCADE>)?(?:<BEFORE>|<AFTER>|<INSTEAD><OF>)(?:<INSERT>|<DELETE>|<UPDATE>(?:<OF>{_ID}(?:,{_ID})*)?)<ON>{_ID}(?:<REFERENCING>(?:(?:<NEW>|<OLD>)(?:<AS>)?W)+)?<FOR><EACH>(?:<ROW>|<STATEMENT>)(?:<MODE><DB2SQL>)?(?:<WHEN>\({_WHERE}\))?(?:<BEGIN><ATOMIC>(?:{_DML};)+<END>|{_DML})",
-    rf"<ALTER><TABLE>{_ID}<ADD>(?:(?:<COLUMN>)?{_COLUMN}|{_CONSTRAINT})",
-    rf"<DROP>(?:<TABLE>|<VIEW>|<INDEX>|<TRIGGER>){_ID}", r"<COMMIT>(?:<WORK>)?", rf"<COMMENT><ON>(?:<TABLE>|<COLUMN>){_ID}<IS>L",
-    rf"<GRANT>.+<ON>(?:<TABLE>)?{_ID}<TO>W(?:,W)*", _DML,
-]
-_DDL_STATEMENT = re.compile("|".join(f"(?:{p})" for p in _DDL))
-_DDL_WORDS = set(re.findall(r"<([A-Z0-9|?:()]+?)>", " ".join(_DDL)))
-_DDL_WORDS = {w for group in _DDL_WORDS for w in re.findall(r"[A-Z0-9]+", group)}
-#: Words that may also be names.
-_SOFT = {"DATE", "TIME", "TIMESTAMP", "ROW", "MODE", "END", "DEC", "WORK", "ADD", "NEW", "OLD", "CURRENT", "ACTION", "CLUSTER", "COMMENT", "COLUMN", "STATEMENT", "OF", "NO", "KEY", "CHECK", "INDEX", "VIEW", "FOR", "EACH", "IN", "AS", "IS", "SET", "BEGIN"}
-
-
-def ddl(text: str) -> None:
-    text = "\n".join(_lines(text))
-    statements, code, at, depth, blocks, seen = 0, [], 0, 0, 0, ""
-    while at < len(text):
-        m = _SQL_TOKEN.match(text, at)
-        if not m:
-            raise Broken(f"character {text[at]!r} or open literal in line {text.count(chr(10), 0, at) + 1}")
-        at = m.end()
-        if not m.lastgroup:
-            continue
-        word = m[0].upper()
-        if m.lastgroup == "literal":
-            if "\n" in m[0]:
-                raise Broken("literal over the end of a line")
-            code.append("L")
-        elif m.lastgroup == "number":
-            code.append("N")
-        elif m.lastgroup == "quoted":
-            code.append("W")
-        elif m.lastgroup == "word":
-            code.append(f"<{word}>" if word in _DDL_WORDS and seen != "." else "W")
-            blocks += word == "ATOMIC"
-            if word == "END" and blocks:
-                blocks -= 1
-        else:
-            depth += (word == "(") - (word == ")")
-            if depth < 0:
-                raise Broken("parenthesis")
-            if word == ";" and not blocks:
-                if depth:
-                    raise Broken("parenthesis")
-                _ddl_statement("".join(code))
-                statements, code = statements + 1, []
-            else:
-                code.append(word)
-        seen = word
-    if code:
-        raise Broken("ends within a statement")
-    if not statements:
-        raise Broken("no statement")
-
-
-def _ddl_statement(code: str) -> None:
-    if not _DDL_STATEMENT.fullmatch(code):
-        raise Broken(f"statement {code[:60]}")
-
-
 # ---------------------------------------------------------------- BMS
 
 _MACROS = {"DFHMSD", "DFHMDI", "DFHMDF"}
@@ -667,7 +1397,7 @@ def bms(text: str) -> None:
                 raise Broken("ends in a continued statement")
             more = lines[at].expandtabs(8).rstrip()
             at += 1
-            if more[:15].strip() or len(more) < 16 or more[15] == " ":
+            if more[:15].strip() or len(more) < 16 or (more[15] == " " and text_.count("'") % 2 == 0):
                 raise Broken(f"line {at} does not continue at column 16")
             goes_on = len(more) > 71 and more[71] != " "
             if not text_.rstrip().endswith(",") and text_.count("'") % 2 == 0:
@@ -725,6 +1455,8 @@ def fault(text: str, language: str) -> str | None:
         CHECKS[language](text)
     except Broken as e:
         return str(e)
+    except RecursionError:
+        return "nested too deeply"
     return None
 
 

@@ -99,3 +99,59 @@ def test_files_and_rates(spark):
     assert sorted(r[0] for r in syntax.broken_files(df).collect()) == ["a/x.cpy", "b/e.map"]
     assert {(r["codebase_id"], r["language"]): (r["n_files"], r["n_broken"]) for r in syntax.rates(df).collect()} == {("a", "cobol"): (1, 0), ("a", "copybook"): (1, 1), ("b", "jcl"): (1, 0), ("b", "bms"): (2, 2), ("d", "ddl"): (1, 0)}
     assert syntax.broken_files(df.limit(0)).count() == 0
+
+
+_PROGRAM = "       IDENTIFICATION DIVISION.\n       PROGRAM-ID. P1.\n       ENVIRONMENT DIVISION.\n       INPUT-OUTPUT SECTION.\n       FILE-CONTROL.\n           SELECT F-A ASSIGN TO OUTA.\n       DATA DIVISION.\n       WORKING-STORAGE SECTION.\n       01  A PIC X.\n       PROCEDURE DIVISION.\n       0000-A.\n           {}.\n"
+_JOB = "//J1       JOB (A),'X'\n//S1       EXEC PGM=P1\n{}\n"
+_TABLE = "CREATE TABLE T (A INTEGER NOT NULL, B CHAR(3));\n{}\n"
+
+GOOD = [
+    *[("cobol", _PROGRAM.format(s)) for s in (
+        "IF A = B AND (C = D OR NOT (E > 1)) CONTINUE END-IF", "COMPUTE X = ((A + B) * (C - 2)) / D", "MOVE FUNCTION TRIM(A) TO B", "MOVE FUNCTION UPPER-CASE(FUNCTION TRIM(A (1:3))) TO B", "IF FUNCTION LENGTH(A) > 3 CONTINUE END-IF",
+        "MOVE A(1) TO B(I + 1)(2:3)", "MOVE ALL '*' TO A", "MOVE LENGTH OF A TO B", "IF A(1:2) = 'X' CONTINUE END-IF",
+        "EXEC SQL SELECT COUNT(*) INTO :N FROM T1 END-EXEC", "EXEC SQL SELECT A, MAX(B) INTO :X, :Y :IND FROM T1 WHERE C IN (1,2) AND D BETWEEN 1 AND 9 GROUP BY A ORDER BY 1 DESC FETCH FIRST 1 ROW ONLY WITH UR END-EXEC",
+        "EXEC SQL UPDATE T1 SET A = A + 1, B = :WS-B WHERE CURRENT OF C1 END-EXEC", "EXEC SQL DECLARE C1 CURSOR WITH HOLD FOR SELECT A FROM T1 X LEFT JOIN T2 Y ON X.A = Y.A WHERE NOT EXISTS (SELECT 1 FROM T3) END-EXEC",
+        "EXEC SQL FETCH C1 INTO :A, :B END-EXEC", "EXEC SQL COMMIT END-EXEC", "EXEC SQL INSERT INTO T1 (A) SELECT B FROM T2 END-EXEC", "EXEC CICS SEND MAP('M1') FROM(A) ERASE END-EXEC", "XML GENERATE A FROM B",
+    )],
+    *[("jcl", _JOB.format(s)) for s in (
+        "//A        DD DSN=X.Y,DISP=(NEW,\n//             CATLG,DELETE)", "//A        DD DSN=X,DCB=(RECFM=FB,\n//  LRECL=80),\n//  SPACE=(CYL,(1,\n//  2))", "//A        DD *,DLM=ZZ\n//NOT A CARD\n/* NOR THIS\nZZ", "//A        DD DATA\n//X EXEC PGM=Y\n/*", "//A        DD DATA,DLM='@@'\n/*\n@@",
+        "//S2       EXEC PGM=P2,PARM='".ljust(71, "A") + "\n//             REST OF IT'", "// IF (S1.RC = 0) THEN\n//S2       EXEC PGM=P2\n// ELSE\n//S3       EXEC PGM=P3\n// ENDIF", "// IF RC > 4 |\n//   ABEND THEN\n//S2 EXEC P2\n// ENDIF", "//PR       PROC A=,B=2\n//S2       EXEC PGM=P2\n//         PEND", "// SET A=", "//S2 EXEC PROC1,A=,B='X'",
+    )],
+    *[("ddl", _TABLE.format(s)) for s in (
+        "CREATE VIEW V AS SELECT COUNT(*) AS N FROM T WHERE (A=1) ORDER BY N;", "CREATE VIEW V AS SELECT A FROM T UNION ALL SELECT A FROM (SELECT A FROM T) X;", "CREATE TABLE U (A INTEGER GENERATED ALWAYS AS IDENTITY (START WITH 1, INCREMENT BY 1), X XML, D DATE NOT NULL WITH DEFAULT, C CHAR(8) FOR BIT DATA, PRIMARY KEY (A)) IN DB1.TS1;",
+        "/* a\n ; block */ COMMIT;", "CREATE PROCEDURE P (IN A INTEGER, OUT B CHAR(3)) LANGUAGE SQL BEGIN DECLARE X INTEGER DEFAULT 0; IF A > 1 THEN SET B = 'X'; ELSE SELECT B INTO B FROM T WHERE A = 1; END IF; WHILE X < 3 DO SET X = X + 1; END WHILE; END;", "CREATE TABLESPACE TS1 IN DB1 USING STOGROUP SG1 PRIQTY 48;", "SET CURRENT SCHEMA = 'A';",
+        "CREATE UNIQUE INDEX I ON T (A ASC, B DESC) CLUSTER;", "ALTER TABLE T ADD CONSTRAINT F FOREIGN KEY (B) REFERENCES U (A) ON DELETE SET NULL;", "ALTER TABLE T ADD COLUMN C DECIMAL(9,2) NOT NULL DEFAULT 0;", "GRANT SELECT, UPDATE (A) ON TABLE T TO PUBLIC, U1;", "CREATE VIEW V AS SELECT CASE WHEN A > 1 THEN 'X' ELSE 'Y' END, CAST(A AS CHAR(3)), COALESCE(B, '') || 'Z', CURRENT DATE - 1 MONTH FROM T;",
+        "CREATE TRIGGER G AFTER UPDATE OF A ON T REFERENCING NEW AS N OLD AS O FOR EACH ROW MODE DB2SQL WHEN (N.A > O.A) BEGIN ATOMIC UPDATE U SET A = (SELECT MAX(A) FROM T); SIGNAL SQLSTATE '75000'; END;", "CREATE TRIGGER G NO CASCADE BEFORE INSERT ON T REFERENCING NEW AS N FOR EACH ROW SET N.B = 'A';", "INSERT INTO T VALUES (1, 'A'), (2, DEFAULT);", "WITH X AS (SELECT A FROM T) SELECT * FROM X;", "COMMENT ON COLUMN T.A IS 'IT''S';", "DROP TABLE A.T;",
+    )],
+]
+BAD = [
+    *[("cobol", _PROGRAM.format(s)) for s in (
+        "IF (A = B CONTINUE END-IF", "IF A = B) CONTINUE END-IF", "COMPUTE X = ((A + B", "COMPUTE X = A + B))", "MOVE FUNCTION TRIM(A TO B", "EXEC SQL SELECT A INTO :X T1 END-EXEC", "EXEC SQL SELECT A INTO :X FROM T1 WHERE C IN (1,2 END-EXEC", "EXEC SQL UPDATE T1 A = 1 END-EXEC", "EXEC SQL SELCT A FROM T END-EXEC",
+        "EXEC SQL DECLARE C1 CURSOR FOR SELECT FROM T1 END-EXEC", "EXEC CICS SEND MAP('M1' END-EXEC",
+    )],
+    ("cobol", _PROGRAM.format("GOBACK").replace("ASSIGN TO OUTA.", "ASSIGN TO OUTA")), ("cobol", _PROGRAM.format("GOBACK").replace("SELECT F-A ASSIGN", "SELECT ASSIGN")),
+    *[("jcl", _JOB.format(s)) for s in (
+        "// IF (S1.RC = 0) THEN\n//S2       EXEC PGM=P2", "// ENDIF", "//         PEND", "// ELSE", "// IF (S1.RC = 0)\n//S2       EXEC PGM=P2\n// ENDIF", "// IF (RC = 0 THEN\n//S2 EXEC P2\n// ENDIF", "// IF RC = 0 THEN\n// ELSE\n// ELSE\n// ENDIF", "//A        DD DISP=(NEW,\n//             CATLG", "//A        DD DISP=(NEW,CATLG\n//             DELETE)", "//S2       EXEC PGM=P2,PARM='OPEN\n//             REST'", "//PR       PROC\n//S2       EXEC PGM=P2",
+        "//A        DD DISP=(NEW,\n//             CATLG)),\n//             UNIT=X", "// IF RC = 0 THEN\n//PR PROC\n// ENDIF",
+    )],
+    *[("ddl", _TABLE.format(s)) for s in (
+        "CREATE VIEW V AS SELECT COUNT(* FROM T;", "CREATE VIEW V AS SELECT A FROM T WHERE (A=1;", "CREATE VIEW V AS SELECT A FROM T UNION;", "CREATE TABLE U (A INTEGER GENERATED ALWAYS IDENTITY);", "CREATE TABLE U (A INTEGER B CHAR(3));", "CREATE TABLE U (A INTEGER,);", "CREATE TABLE U A INTEGER);", "CREATE U (A INTEGER);", "/* open COMMIT;", "CREATE PROCEDURE P () BEGIN SET A = 1; ", "CREATE PROCEDURE P () BEGIN IF A = 1 THEN SET A = 2; END; END;",
+        "CREATE TABLE U (A INTEGER)\nCREATE INDEX I ON U (A);", "CREATE INDEX I T (A);", "INSERT INTO T VALUES (1,);", "UPDATE T SET A = WHERE B = 1;", "DELETE T WHERE A = ;", "SELECT A FORM T;", "CREATE TRIGGER G AFTER INSERT T FOR EACH ROW BEGIN ATOMIC DELETE FROM U; END;", "ALTER T ADD COLUMN C INTEGER;", "COMMIT",
+    )],
+]
+
+
+@pytest.mark.parametrize("language,text", GOOD)
+def test_ordinary_code_is_sound(language, text):
+    assert syntax.fault(text, language) is None
+    assert syntax.fault(text.lower(), language) is None
+
+
+@pytest.mark.parametrize("language,text", BAD)
+def test_unbalanced_and_unfinished_code_is_broken(language, text):
+    assert syntax.fault(text, language)
+
+
+def test_deep_nesting_and_long_texts_end():
+    assert syntax.fault("COMMIT;\nSELECT " + "(" * 5000 + "1" + ")" * 5000 + " FROM T;\n", "ddl") == "nested too deeply"
+    assert syntax.fault("SELECT " + "+".join(["A"] * 50_000) + " FROM T;\n", "ddl") is None
