@@ -29,6 +29,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return history.versions(table(spark, d, "node_history")).drop("state")
 
 
+def p4_by_slice(spark: SparkSession, d: str) -> DataFrame:
+    """The same with few rows needed for an id to be cut into slices of a week, so that the way of hot ids is taken on any table."""
+    return history.versions(table(spark, d, "node_history"), hot_rows=10, slice_us=7 * 86_400_000_000).drop("state")
+
+
 def p4_changes_by_month(spark: SparkSession, d: str) -> DataFrame:
     """Versions begun per codebase and month, and how many of them still hold."""
     v = history.versions(table(spark, d, "node_history"))
@@ -113,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_counts": p2_counts,
     "p4_found": p4_found,
+    "p4_by_slice": p4_by_slice,
     "p4_changes_by_month": p4_changes_by_month,
     "p5_found": p5_found,
     "p5_paths": p5_paths,
@@ -123,6 +129,7 @@ SQL: dict[str, str] = {
     "p2_found": f"{_ORPHANS} SELECT ref_table, from_id, ref_id, ref_type, status FROM judged WHERE status IS NOT NULL",
     "p2_counts": f"{_ORPHANS} SELECT ref_table, strftime(t_, '%Y-%m') AS month, status, count(*) AS n_refs, count(DISTINCT ref_id) AS n_ids FROM judged WHERE status IS NOT NULL GROUP BY 1, 2, 3",
     "p4_found": f"{_VERSIONS} SELECT id, version_no, valid_from, valid_to FROM versions",
+    "p4_by_slice": f"{_VERSIONS} SELECT id, version_no, valid_from, valid_to FROM versions",
     "p4_changes_by_month": f"{_VERSIONS} SELECT split_part(id, ':', 2) AS codebase_id, strftime(make_timestamp(valid_from), '%Y-%m') AS month, count(*) AS n_versions, count(*) FILTER (valid_to = -1) AS n_valid FROM versions GROUP BY 1, 2",
     "p5_found": f"{_TREE} SELECT edge_type, id, root_id, depth FROM ({_WHOLE_TREE})",
     "p5_paths": f"{_TREE} SELECT edge_type, id, root_id, depth, array_to_string(path, ' > ') AS path FROM ({_WHOLE_TREE})",

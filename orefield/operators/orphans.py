@@ -4,9 +4,13 @@ Edges refer to nodes by ``dst``; nodes refer to their parent by a bare name in `
 reference is an orphan when its key is known nowhere (``missing``), only from the history
 (``deleted``), or when its node was recorded after it (``late``).
 
-Plan: references are counted per key and period in the map tasks; the keys that hold a large part of
-all references meet their (bounded) match by broadcast, all others by one shuffle on the key which
-also serves the removal of repeated deliveries; both parts are united.
+Plan: references are counted per key and period, with the earliest time of each, and these counts are
+written once; everything that follows is decided on them.  Keys that hold a thousandth of all
+references or more (so at most a thousand keys) are heavy: the node tables are searched for them by a
+broadcast of the keys.  The counts of all other keys are anti-joined with the known keys by a shuffle.
+Both give orphan keys, which are united; only references to orphan keys are then expanded, those of
+heavy keys by a broadcast of the at most thousand keys and spread by the whole reference, the others
+by one shuffle on the key which also serves the removal of repeated deliveries.
 
 Defined cases: a null ``dst`` or parent name is no reference, an empty parent name neither; keys are
 compared without letter case and surrounding blanks; repeated deliveries of a reference count once,
@@ -22,6 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orefield.plans.lineage import cut
 from orefield.plans.skew import heavy_keys
 
 #: Property that names a parent, and the type of that parent.
@@ -71,34 +76,45 @@ def known_ids(nodes: DataFrame, platform_nodes: DataFrame, history: DataFrame) -
     )
 
 
-def orphans(edges: DataFrame, nodes: DataFrame, platform_nodes: DataFrame, history: DataFrame, *, heavy_rows: int = 50_000) -> DataFrame:
-    """Orphan references: ref_table, from_id, ref_id, ref_type, status, at (time of the reference)."""
+def orphans(edges: DataFrame, nodes: DataFrame, platform_nodes: DataFrame, history: DataFrame, *, heavy_rows: int = 100) -> DataFrame:
+    """Orphan references: ref_table, from_id, ref_id, ref_type, status, at (time of the reference).
+
+    ``heavy_rows``: references that a key must hold, besides a thousandth of all, to be treated as heavy.
+    """
     refs = edge_references(edges).unionByName(parent_references(nodes)).withColumn("key", match_key(F.col("ref_id")))
     known = known_ids(nodes, platform_nodes, history)
-    # References per key and period, summed per key: a small count table, whatever the skew.
-    counts = refs.select("key", F.date_trunc("month", "at").alias("period"))
-    heavy = heavy_keys(counts, "key", min_rows=heavy_rows)
-    once = ["key", "ref_table", "from_id", "ref_id", "ref_type"]
+    # References per key and period: combined in the map tasks, then small whatever the skew.
+    counts = cut(refs.groupBy("key", F.date_trunc("month", "at").alias("period")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")))
+    heavy = heavy_keys(counts, "key", min_rows=heavy_rows, rows="n")
+    is_heavy = F.col("key").isin(heavy) if heavy else F.lit(False)
+    per_key = counts.groupBy("key").agg(F.min("first").alias("first"))
+    never_known, gone, after = F.col("rank").isNull(), F.col("rank") == 1, (F.col("rank") == 2) & (F.col("since") > F.col("first"))
 
-    def judged(joined: DataFrame) -> DataFrame:
-        status = (
-            F.when(F.col("rank").isNull(), "missing")
-            .when(F.col("rank") == 1, "deleted")
-            .when((F.col("rank") == 2) & (F.col("since") > F.col("at")), "late")
-        )
-        return joined.withColumn("status", status).where(F.col("status").isNotNull()).select("ref_table", "from_id", "ref_id", "ref_type", "status", "at")
+    def orphan_keys(met: DataFrame) -> DataFrame:
+        return met.where(never_known | gone | after).select("key", "rank", "since")
 
-    is_heavy = F.col("key").isin(heavy) if heavy else F.lit(False)
-    # One shuffle on the key serves both the removal of repeats and the join.
-    light = refs.where(~is_heavy).repartition("key").groupBy(*once).agg(F.min("at").alias("at"))
-    found = judged(light.join(known, "key", "left"))
+    once = ["key", "ref_table", "from_id", "ref_id", "ref_type"]
+    status = (
+        F.when(F.col("rank").isNull(), "missing")
+        .when(F.col("rank") == 1, "deleted")
+        .when((F.col("rank") == 2) & (F.col("since") > F.col("at")), "late")
+    )
+    states = [F.first("rank").alias("rank"), F.first("since").alias("since")]
+
+    def expanded(some: DataFrame, keys: DataFrame) -> DataFrame:
+        one = some.join(keys, "key").groupBy(*once).agg(F.min("at").alias("at"), *states)
+        return one.withColumn("status", status).where(F.col("status").isNotNull()).select("ref_table", "from_id", "ref_id", "ref_type", "status", "at")
+
+    light_keys = orphan_keys(per_key.where(~is_heavy).join(known, "key", "left"))
+    found = expanded(refs.where(~is_heavy), light_keys.hint("shuffle_merge"))
     if heavy:
-        # Repeats of heavy keys are removed by the full reference, which spreads them over all tasks.
-        hot = refs.where(is_heavy).groupBy(*once).agg(F.min("at").alias("at"))
-        found = found.unionByName(judged(hot.join(F.broadcast(known.where(is_heavy)), "key", "left")))
+        hot = F.broadcast(per_key.where(is_heavy))  # at most MAX_KEYS rows
+        met = hot.join(known.join(F.broadcast(per_key.where(is_heavy).select("key")), "key", "left_semi"), "key", "left")
+        found = found.unionByName(expanded(refs.where(is_heavy), F.broadcast(orphan_keys(met))))
     return found
 
 
 def orphan_counts(found: DataFrame) -> DataFrame:
-    """Orphans per table, month of the reference and status."""
-    return found.groupBy("ref_table", F.date_format("at", "yyyy-MM").alias("month"), "status").agg(F.count(F.lit(1)).alias("n_refs"), F.count_distinct("ref_id").alias("n_ids"))
+    """Orphans per table, month of the reference and status: first counted per key and month, then over all keys."""
+    per_key = found.groupBy("ref_table", F.date_format("at", "yyyy-MM").alias("month"), "status", "ref_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_key.groupBy("ref_table", "month", "status").agg(F.sum("n").alias("n_refs"), F.count(F.lit(1)).alias("n_ids"))

@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's reliable checkpoint folder and go on from the files.
 
-    The folder is the one named by ``spark.checkpoint.dir``.  Only where the session names none
-    (local tests) a temporary folder of this machine is set.
+    The folder is the one named by ``spark.checkpoint.dir``.  Where the session names none, a local
+    session takes a temporary folder of this machine; on a cluster that would not be seen by all, so it
+    is an error.  Sessions that set ``spark.cleaner.referenceTracking.cleanCheckpoints`` have the files
+    removed with the DataFrames that hold them.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)

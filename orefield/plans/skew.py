@@ -14,17 +14,19 @@ MAX_KEYS = 1000
 MIN_ROWS = 100_000
 
 
-def heavy_keys(df: DataFrame, key: str | Column, *, min_rows: int = MIN_ROWS, max_keys: int = MAX_KEYS) -> list:
+def heavy_keys(df: DataFrame, key: str | Column, *, min_rows: int = MIN_ROWS, max_keys: int = MAX_KEYS, rows: str | None = None) -> list:
     """The keys of ``df`` with at least ``max(min_rows, total / max_keys)`` rows: at most ``max_keys`` values.
 
-    The count is pre-aggregated in each map task before it is shuffled.  Null keys are never heavy.
+    ``rows`` names a column that says for how many rows a row of ``df`` stands.  The count is
+    pre-aggregated in each map task before it is shuffled.  Null keys are never heavy.
     """
     col = F.col(key) if isinstance(key, str) else key
-    counted = df.select(col.alias("__key")).where(F.col("__key").isNotNull()).groupBy("__key").count()
+    weighed = df.select(col.alias("__key"), (F.col(rows) if rows else F.lit(1)).alias("__rows"))
+    counted = weighed.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.sum("__rows").alias("count"))
     top = counted.where(F.col("count") >= min_rows).orderBy(F.desc("count")).limit(max_keys).collect()
     if not top:
         return []
-    least = max(min_rows, df.count() / max_keys)
+    least = max(min_rows, weighed.agg(F.sum("__rows")).first()[0] / max_keys)
     return [r["__key"] for r in top if r["count"] >= least]
 
 
