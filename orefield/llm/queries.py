@@ -78,6 +78,11 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(table(spark, d, "documents"))
 
 
+def p9_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts against the labels of the raters."""
+    return quality.agreement(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
 _LEAKS = """
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_items WHERE text IS NOT NULL),
@@ -110,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "p8_items": p8_items,
     "p9_found": p9_found,
     "p9_statistics": p9_statistics,
+    "p9_agreement": p9_agreement,
 }
 SQL: dict[str, str] = {
     "p3_found": f"""{_SHINGLES}

@@ -47,21 +47,26 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first[border] = inside[border]
     last[border - 1] = inside[border - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    per_text = np.searchsorted(starts, at[1:], "left") - np.searchsorted(starts, at[:-1], "left")
+    return run_hashes(low, starts, ends), per_text.astype(np.int64)
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of bytes from ``starts`` to ``ends``, both ascending and without overlap."""
     out = np.empty(len(starts), U)
     power, inverse = _powers(min(len(data), 2 * _BLOCK) + 1)
     a = 0
     while a < len(starts):
         b = max(np.searchsorted(ends, starts[a] + _BLOCK, "right"), a + 1)
         begin, end = starts[a], ends[b - 1]
-        if end - begin >= len(power):  # one word longer than a block
+        if end - begin >= len(power):  # one run longer than a block
             power, inverse = _powers(int(end - begin) + 1)
         sums = np.zeros(end - begin + 1, U)
-        np.cumsum(low[begin:end] * power[: end - begin], out=sums[1:])
+        np.cumsum(data[begin:end] * power[: end - begin], out=sums[1:])
         s, e = starts[a:b] - begin, ends[a:b] - begin
         out[a:b] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U))
         a = b
-    per_text = np.searchsorted(starts, at[1:], "left") - np.searchsorted(starts, at[:-1], "left")
-    return out, per_text.astype(np.int64)
+    return out
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -47,3 +47,29 @@ def test_statistics_in_any_language(spark):
     assert got[0]["mean_word_length"] == 5.2 and got[1]["prose_share"] == 1
     junk, prose = sorted((r for r in quality.statistics(df.where("doc_id = 9")).collect()), key=lambda r: -r["gram_cover"])
     assert junk["gram_cover"] > 0.9 and (prose["gram_cover"], prose["prose_share"], prose["repeated_share"]) == (0, 1, 0)
+
+
+def test_features_that_no_word_list_gives(spark):
+    italian = "Il programma legge tutti i record del registro e poi scrive un rapporto. Gli operatori controllano sempre il saldo di ogni conto prima della notte."
+    salad = "taow yng wysvw magrdxqdf iuixpznq oeh drb vjdku rdb uv ncfrotvh ygn hyztpjb msazv utogkbhfh pcbxdofi ltpar bb jwwqnby"
+    phrase = ("the ledger of this branch is read by every nightly job and closed ") * 9
+    paragraph = "\n\n".join([PROSE[0]] * 6)
+    df = spark.createDataFrame([(1, italian), (2, salad), (3, phrase), (4, paragraph), (5, PROSE[0])], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in quality.features(df).withColumn("is_prose", quality.is_prose()).collect()}
+    assert [got[i]["is_prose"] for i in range(1, 6)] == [True, False, False, False, True]
+    assert got[3]["gram_cover"] > 0.9 and got[4]["repeated_paragraph_chars"] > 0.8 and got[5]["gram_cover"] == 0 and 3.5 < got[5]["entropy"] < 4.6 and got[5]["word_length_spread"] > 1
+
+
+def test_agreement(spark):
+    docs = spark.createDataFrame([(1, PROSE[0]), (2, OTHER[0]), (3, PROSE[1]), (4, PROSE[1])], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, "prose"), (1, "prose"), (2, "other"), (2, None), (3, "prose"), (3, "other"), (9, "prose")], "doc_id bigint, label string")
+    assert sorted(map(tuple, quality.agreement(docs, labels).collect())) == [("other", False, 1), ("prose", True, 1)]
+
+
+def test_features_do_not_depend_on_the_rows_around(spark):
+    texts = PROSE + OTHER + ["", "\u2028", "x", "été", "東京", "a" * 100_000]
+    one = {r["doc_id"]: tuple(r) for r in quality.features(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(1)).collect()}
+    each = {}
+    for r in quality.features(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(len(texts), "doc_id")).collect():
+        each[r["doc_id"]] = tuple(r)
+    assert one.keys() == each.keys() and all(abs(x - y) < 1e-9 for i in one for x, y in zip(one[i], each[i], strict=True))
