@@ -21,7 +21,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefield.plans.lineage import cut
@@ -129,24 +129,22 @@ def encode(documents: DataFrame, id_: str = "doc_id", text: str = "text", vocabu
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), out, cold_lists], names=["row", "id", "ids", "gaps"])
 
     id_type = dict(documents.dtypes)[id_]
-    rows = documents.select(F.xxhash64(F.col(id_), F.col(text)).alias("row"), F.col(id_).alias("id"), pre_tokens(F.col(text)).alias("words"))
-    placed = rows.mapInArrow(place, f"row bigint, id {id_type}, ids binary, gaps array<struct<at:int,nth:bigint,word:string>>")
+    # A row is known by its id and a hash of its content together: rows that agree in both are equal and share their pieces.
+    rows = documents.select(F.hash(F.col(id_), F.col(text)).alias("row"), F.col(id_).alias("id"), pre_tokens(F.col(text)).alias("words"))
+    placed = rows.mapInArrow(place, f"row int, id {id_type}, ids binary, gaps array<struct<at:int,nth:bigint,word:string>>")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, n = _unbinary(b.column("ids"), packed)
             yield pa.RecordBatch.from_arrays([b.column("id"), _lists(ids, n)], names=[id_, "ids"])
 
-    if words.count() == len(hot_words):
-        return placed.select("id", "ids").mapInArrow(unpack, f"{id_} {id_type}, ids array<int>")
     placed = cut(placed)
     whole = placed.where(F.size("gaps") == 0).select("id", "ids").mapInArrow(unpack, f"{id_} {id_type}, ids array<int>")
     gapped = placed.where(F.size("gaps") > 0)
-    # A row is known by its id and content: equal rows share their pieces, which are kept once.
-    cold = gapped.dropDuplicates(["row", "id"]).select("row", F.explode("gaps").alias("gap")).select("row", "gap.*")
+    cold = gapped.dropDuplicates(["row", "id"]).select("row", "id", F.explode("gaps").alias("gap")).select("row", "id", "gap.*")
     pieces = (
         cold.join(words.select("word", F.col("ids").alias("piece")), "word")
-        .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("nth", "at", "piece"))).alias("pieces"))
+        .groupBy(F.col("row").alias("row_"), F.col("id").alias("id_")).agg(F.array_sort(F.collect_list(F.struct("nth", "at", "piece"))).alias("pieces"))
     )
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,21 +159,31 @@ def encode(documents: DataFrame, id_: str = "doc_id", text: str = "text", vocabu
             sizes = n_old + np.bincount(of, weights=n_new, minlength=len(n_old)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), _lists(filled, sizes)], names=[id_, "ids"])
 
-    joined = gapped.select("row", "id", "ids").join(pieces, "row").select("id", "ids", "pieces")
+    same = (F.col("row") == F.col("row_")) & F.col("id").eqNullSafe(F.col("id_"))
+    joined = gapped.select("row", "id", "ids").join(pieces, same).select("id", "ids", "pieces")
     return whole.unionByName(joined.mapInArrow(fill, f"{id_} {id_type}, ids array<int>"))
 
 
-def decode(encoded: DataFrame, id_: str = "doc_id", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """(id, text): the texts again, by the table of the bytes of each token (its size is that of the vocabulary)."""
-    path = vocabulary or vocabulary_file()
+def token_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
+    """(token, bytes): one row per entry of the vocabulary."""
+    ranks = _ranks(vocabulary or vocabulary_file())
+    return spark.createDataFrame(pa.table({"token": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())}))
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _ranks(path)
-        of = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            of[rank] = token
-        for b in batches:
-            out = ["".join(b"".join(of[i] for i in row or ()).decode("utf-8", "replace")) for row in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.string())], names=[id_, "text"])
 
-    return encoded.select(F.col(id_).alias("id"), F.col(ids).alias("ids")).mapInArrow(texts, f"{id_} {dict(encoded.dtypes)[id_]}, text string")
+def decode(encoded: DataFrame, id_: str = "doc_id", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
+    """(id, text): the texts again.
+
+    Tokens are joined with the table of the bytes of each, which is broadcast (its size is that of the
+    vocabulary), and put together by position, first in runs of tokens, then per text.  Null or empty ids give
+    the empty text; ids that the vocabulary lacks are left out, bytes that are no UTF-8 become U+FFFD.
+    """
+    table = F.broadcast(token_table(encoded.sparkSession, vocabulary))
+    rows = encoded.select(F.col(id_).alias("id"), F.col(ids).alias("ids")).withColumn("content", F.xxhash64("ids"))
+    n_rows = rows.groupBy("id", "content").agg(F.count(F.lit(1)).alias("n"))
+    tokens = rows.dropDuplicates(["id", "content"]).select("id", "content", F.posexplode("ids").alias("at", "token")).join(table, "token")
+    join_up = lambda of: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", of))), lambda x: x[of]), "")
+    runs = tokens.withColumn("hex", F.hex("bytes")).groupBy("id", "content", F.floor(F.col("at") / 4096).cast("int").alias("run")).agg(join_up("hex").alias("hex"))
+    texts = runs.withColumnRenamed("run", "at").groupBy(F.col("id").alias("id_"), F.col("content").alias("content_")).agg(F.make_valid_utf8(F.unhex(join_up("hex")).cast("string")).alias("text"))
+    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("content") == F.col("content_"))
+    whole = n_rows.join(texts, same, "left").select("id", "n", F.coalesce("text", F.lit("")).alias("text"))
+    return whole.select(F.col("id").alias(id_), "text", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).drop("copy")
