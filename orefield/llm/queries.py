@@ -70,6 +70,11 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+def p8_stages(spark: SparkSession, d: str) -> DataFrame:
+    """What each stage leaves: candidates by fingerprint, similar by shingles, pairs that hold a passage; per size of window."""
+    return leaks.stages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_prose(table(spark, d, "documents"))
 
@@ -113,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "p7_decoded": p7_decoded,
     "p8_found": p8_found,
     "p8_items": p8_items,
+    "p8_stages": p8_stages,
     "p9_found": p9_found,
     "p9_statistics": p9_statistics,
     "p9_agreement": p9_agreement,

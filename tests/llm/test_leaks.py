@@ -60,3 +60,27 @@ def test_empty(spark):
     docs, items = make()
     d, i = frames(spark, docs, items)
     assert leaks.leaks(d.limit(0), i).count() == 0 and leaks.leaks(d, i.limit(0)).count() == 0 and leaks.leaks(d, i.limit(0), broadcast_windows=-1).count() == 0
+
+
+def test_near_copies_of_whole_items_stand_without_a_common_passage_only_if_asked(spark):
+    rnd = random.Random(2)
+    item = [f"v{rnd.randrange(900)}" for _ in range(48)]
+    other = item[:3] + ["changed"] + item[4:]  # one word, near an end
+    d, i = frames(spark, [(1, " ".join(other)), (2, " ".join(item)), (3, " ".join(item[::2]))], [(1, " ".join(item))])
+    for kw in ({}, {"broadcast_windows": 0}):
+        rows = {(r["doc_id"], r["size"]): r for r in leaks.hits(d, i, radius=12, **kw).collect()}
+        assert rows[1, 48]["similar"] == 1 and rows[2, 48]["held"] and (3, 48) not in rows
+        assert {r["doc_id"] for r in leaks.leaks(d, i, exact=False, radius=12, **kw).collect()} == {1, 2}
+    got = {r["size"]: r for r in leaks.stages(d, i).collect()}
+    assert set(got) == {12, 24, 48} and got[12]["pairs_held"] == 2 and got[48]["pairs_held"] >= 1
+
+
+def test_ids_of_any_type_and_windows_of_items(spark):
+    import numpy as np
+
+    d = spark.createDataFrame([("d", ITEM)], "doc_id string, text string")
+    i = spark.createDataFrame([("i", ITEM), (None, ITEM)], "item_id string, text string")
+    for kw in ({}, {"broadcast_windows": 0}):
+        assert sorted(((r["doc_id"], r["item_id"]) for r in leaks.leaks(d, i, **kw).collect()), key=str) == [("d", "i"), ("d", None)]
+    row, first = leaks.item_windows(np.array([30, 10, 25]), 24, 12)
+    assert list(zip(row, first)) == [(0, 0), (0, 6), (2, 40), (2, 41)]
