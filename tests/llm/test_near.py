@@ -72,3 +72,43 @@ def test_words_are_runs_of_ascii_letters_and_digits():
     assert len(set(by.values())) == len(by)
     sliced = pa.array(texts).slice(50, 20)
     assert (words.word_hashes(sliced)[0] == hashes[sum(n[:50]) : sum(n[:70])]).all()
+
+
+def test_rings_alone_find_every_pair_within_the_fingerprint_bound(spark, monkeypatch):
+    """One large shard: no pair is lost between the levels, none comes twice, whatever the depth."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near, "LEAF", 4)
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [[rnd.choice(vocabulary) for _ in range(rnd.choice([12, 30, 60]))] for _ in range(12)]
+    rows = []
+    for i in range(220):
+        t = list(rnd.choice(base))
+        for _ in range(rnd.choice([1, 1, 2, 3])):
+            t[rnd.randrange(len(t))] = rnd.choice(vocabulary)
+        rows.append((i, " ".join(t)))
+    made = near.prints(spark.createDataFrame(rows, "unit_id bigint, source string"), "unit_id", "source").dropDuplicates(["set"]).cache()
+    rs = made.select("set", "n", "print").collect()
+    bits = lambda p: sum(int(v & (2**64 - 1)) << (64 * k) for k, v in enumerate(p))
+    want = set()
+    for x, p in enumerate(rs):
+        for q in rs[x + 1 :]:
+            if min(p["n"], q["n"]) >= 0.7 * max(p["n"], q["n"]) - 1e-9 and bin(bits(p["print"]) ^ bits(q["print"])).count("1") <= int((p["n"] + q["n"]) * (0.3 / 1.7) + 1e-9):
+                want.add((min(p["set"], q["set"]), max(p["set"], q["set"])))
+    shard = made.select(F.lit(1).cast("bigint").alias("key"), "set", "n", "print")
+    for levels in (1, 2, 5):
+        got = [tuple(r) for r in near._vantage_pairs(shard, 0.7, levels).collect()]
+        assert len(got) == len(set(got)) and set(got) == want != set()
+
+
+def test_hot_bands_and_hot_classes_take_other_ways_to_the_same_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near, "LEAF", 5)
+    monkeypatch.setattr(near, "SAMPLE", 1)
+    rows = corpus(20, 9) + [(20_000 + i, "one two three four five six seven eight") for i in range(30)]
+    df = spark.createDataFrame(rows, "unit_id bigint, source string")
+    members, links = near.similar_classes(df, hot_classes=4)
+    usual = near.similar_classes(df)[1]
+    assert {tuple(r) for r in links.collect()} == {tuple(r) for r in usual.collect()}
+    got = [tuple(r) for r in near.near_pairs(df, hot_copies=3).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
