@@ -1,23 +1,10 @@
-"""Names, schemas and JSON accessors of the node and edge model."""
+"""Ids and JSON accessors of the node and edge model."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NODE_TYPES = (
-    "Program", "Paragraph", "Copybook", "Field", "JCLJob", "JCLStep", "Dataset", "VSAMDataset", "CICSMap", "DB2Table",
-    "DB2Column", "Constraint", "View", "StoredProcedure", "Trigger", "BusinessRule", "Report", "ExternalSystem",
-)
-EDGE_TYPES = (
-    "CALLS", "PERFORMS", "INCLUDES", "READS", "WRITES", "EXECUTES", "RENDERS_ON", "INVOKES_PROC", "FIRES_ON", "TRIGGERS_TRIGGER",
-    "ABSTRACTS", "CASCADES_TO", "IMPLEMENTS_RULE", "DERIVED_FROM", "PRODUCES_REPORT", "CALLS_EXTERNAL", "XCTLS",
-)
-
-NODES = "id string, type string, name string, codebase_id string, content_hash string, last_verified string, parse_confidence double, properties string, created_at timestamp, updated_at timestamp"
-EDGES = "src string, dst string, type string, properties string, created_at timestamp"
-NODES_LOG = f"{NODES}, seq bigint, op string, ts timestamp"
-
 
 def node_id(kind: str | Column, codebase: Column, name: Column) -> Column:
     """``kind:codebase:name``; null if any part is."""

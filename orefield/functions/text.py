@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LINE_END = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85  ]"
-TRAILING_BLANKS = r"[\x09-\x0d\x1c-\x20\x85\xa0  -     　]+$"
+LINE_END = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+#: Characters that are blank at the end of a line: the white space of Unicode.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 #: Kinds and patterns of sensitive text, in the order in which they are replaced.
 REDACTIONS = (
@@ -31,7 +32,7 @@ def lines(text: Column) -> Column:
 
 def content_hash(text: Column) -> Column:
     """SHA-256 of the text without blanks at line ends and with plain line feeds."""
-    return F.sha2(F.array_join(F.transform(lines(text), lambda x: F.regexp_replace(x, TRAILING_BLANKS, "")), "\n"), 256)
+    return F.sha2(F.array_join(F.transform(lines(text), lambda x: F.rtrim(x, F.lit(BLANKS))), "\n"), 256)
 
 
 def content_area(line: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orefield.functions.model import prop
 from orefield.functions.text import REDACTIONS, content_hash, redact, redaction_counts
 from orefield.operators import extract, graph, narrate, reports, triage
+from orefield.plans.lineage import cut
 from orefield.sources import store
 from orefield.sources.tables import table
 
@@ -224,23 +225,26 @@ def work_queue_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- narration
 
-def _narrated(spark: SparkSession, d: str) -> DataFrame:
-    """Narrations that exist: of all units loaded before mid 2025, the post-expanded ones marked stale."""
-    u = table(spark, d, "units").where("loaded_at < timestamp'2025-07-01'")
-    made = narrate.gated(u).select("unit_id", "hash").join(u.select("unit_id", "post_expansion"), "unit_id")
-    return made.groupBy(F.col("hash").alias("content_hash")).agg(F.bool_and(F.coalesce("post_expansion", F.lit(False))).alias("stale"))
+def _gated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Units redacted and hashed once, and the narrations that exist: of those loaded before mid 2025, the post-expanded ones marked stale."""
+    made = cut(narrate.gated(table(spark, d, "units"), "loaded_at", "post_expansion"))
+    old = made.where("loaded_at < timestamp'2025-07-01'")
+    return made, old.groupBy(F.col("hash").alias("content_hash")).agg(F.bool_and(F.coalesce("post_expansion", F.lit(False))).alias("stale"))
 
 
 def narration_plan(spark: SparkSession, d: str) -> DataFrame:
     """Distinct redacted texts that still need a narration."""
-    return narrate.to_narrate(table(spark, d, "units"), _narrated(spark, d)).select("hash", "kind", "name", "n_units")
+    return narrate.to_narrate(*_gated(spark, d)).select("hash", "kind", "name", "n_units")
+
+
+def _narrated(spark: SparkSession, d: str) -> DataFrame:
+    todo = narrate.to_narrate(*_gated(spark, d))
+    return todo.select("hash", "kind", "n_units", narrate.reply_tokens(narrate.mock_reply(F.col("name"), F.col("redacted"))).alias("tokens"))
 
 
 def mock_narration(spark: SparkSession, d: str) -> DataFrame:
     """Replies of the deterministic narrator, their size and what was spent before them."""
-    todo = narrate.to_narrate(table(spark, d, "units"), _narrated(spark, d))
-    made = todo.select("hash", "n_units", narrate.reply_tokens(narrate.mock_reply(F.col("name"), F.col("redacted"))).alias("tokens"))
-    return narrate.spent_before(made, "tokens", ["hash"]).select("hash", "n_units", "tokens", "spent")
+    return narrate.spent_before(_narrated(spark, d), "tokens", ["hash"]).select("hash", "n_units", "tokens", "spent")
 
 
 # ---------------------------------------------------------------- reports
@@ -385,6 +389,14 @@ def _redacted(text: str) -> str:
     return text
 
 
+_TODO = f"""WITH g AS (SELECT unit_id, kind, name, loaded_at, post_expansion, {_redacted('source')} AS r FROM units WHERE coalesce(source, '') <> ''),
+h AS (SELECT *, {_HASH.format('r')} AS hash FROM g),
+known AS (SELECT hash FROM h WHERE loaded_at < TIMESTAMP '2025-07-01' GROUP BY 1 HAVING NOT bool_and(coalesce(post_expansion, false))),
+first AS (SELECT hash, arg_min(struct_pack(kind := kind, name := name, r := r), unit_id) AS u, count(*) AS n_units FROM h ANTI JOIN known USING (hash) GROUP BY 1),
+todo AS (SELECT hash, u.kind AS kind, u.name AS name, n_units, length('{{"rule":"Business rule for ' || coalesce(trim(to_json(u.name)::varchar, '"'), 'null') || ': performs standard data processing with conditional branching.","confidence":0.5,"line_range":[1,'
+  || greatest(1, length(u.r) - length(replace(u.r, chr(10), '')) + 1) || '],"edge_cases":["Review edge case around date boundary crossing"]}}') // 4 + 1 AS tokens FROM first)"""
+
+
 def _depth(edge_type: str) -> str:
     return f"""{_NE}, s AS (SELECT DISTINCT e.src, e.dst FROM e JOIN n ON n.id = e.dst WHERE e.type = '{edge_type}'),
 r AS (SELECT src AS start, src AS id, 0 AS hop FROM s UNION SELECT r.start, s.dst, r.hop + 1 FROM r JOIN s ON s.src = r.id WHERE r.hop < 60),
@@ -462,6 +474,8 @@ SQL: dict[str, str] = {
     "content_hashes": f"WITH h AS (SELECT unit_id, content_hash, {_HASH.format('source')} AS hash FROM units WHERE source IS NOT NULL) SELECT unit_id, hash, coalesce(hash <> content_hash, true) AS stale FROM h",
     "dedup_groups": f"SELECT {_HASH.format('source')} AS hash, count(*) AS n_units, min(unit_id) AS first_unit FROM units WHERE source IS NOT NULL GROUP BY 1",
     "unit_changes": "WITH u AS (SELECT unit_id, kind || ':' || codebase_id || ':' || name AS k, content_hash FROM units WHERE name IS NOT NULL AND content_hash IS NOT NULL), f AS (SELECT k, arg_min(content_hash, unit_id) AS h, min(unit_id) AS first_unit FROM u GROUP BY 1) SELECT CASE WHEN u.content_hash = f.h THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS n FROM u JOIN f USING (k) WHERE u.unit_id > f.first_unit GROUP BY 1",
+    "narration_plan": f"{_TODO} SELECT hash, kind, name, n_units FROM todo",
+    "mock_narration": f"{_TODO} SELECT hash, n_units, tokens, coalesce(sum(tokens) OVER (ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS spent FROM todo",
     "redact_units": f"SELECT unit_id, sha256({_redacted('source')}) AS redacted_hash FROM units WHERE source IS NOT NULL",
     "redact_documents": f"SELECT doc_id, {_redacted('text')} AS redacted FROM documents WHERE text IS NOT NULL",
     "risk_score": f"WITH {_N} SELECT id, round({_RISK}, 4) AS risk FROM n WHERE type IN ('Program', 'Paragraph')",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefield.functions.model import prop
@@ -130,10 +130,69 @@ def closure(steps: DataFrame) -> DataFrame:
     return known
 
 
+def heights(steps: DataFrame) -> DataFrame:
+    """(kind, id, depth) of every node with a step down: levels of a breadth-first search from it, over (kind, src, dst).
+
+    Where every node has at most one step up, what is below a node is a tree: heights are carried to the
+    ancestor 1, 2, 4, ... steps above, one row per node and round, so the work is that of the nodes times
+    the logarithm of the longest chain.  Pointers that never end lie on rings or below them; for the nodes
+    on rings alone distances along the ring are added.  Kinds in which a node has several steps up need all
+    pairs (``closure``).
+    """
+    steps = cut(steps.where(F.col("src") != F.col("dst")).distinct())
+    many = [r["kind"] for r in steps.groupBy("kind", "dst").count().where("count > 1").select("kind").distinct().collect()]
+    tangled = steps.where(F.col("kind").isin(many)) if many else None
+    if many:
+        steps = steps.where(~F.col("kind").isin(many))
+    up = steps.select("kind", F.col("dst").alias("id"), F.col("src").alias("above"))
+    known = steps.select("kind", F.col("src").alias("id")).distinct().withColumn("depth", F.lit(1).cast("bigint"))
+    # Targets are the nodes with something so far below them: fewer each round, until only nodes on rings are left.
+    targets = lambda: up.select("kind", "above").distinct().count()
+    n, before, reach_ = targets(), None, 1
+    while n and n != before:
+        carried = up.join(known, ["kind", "id"], "left").select("kind", F.col("above").alias("id"), (F.coalesce("depth", F.lit(0)) + reach_).alias("depth"))
+        known = cut(known.unionByName(carried).groupBy("kind", "id").agg(F.max("depth").alias("depth")))
+        up = cut(up.join(up.select("kind", F.col("id").alias("above"), F.col("above").alias("further")), ["kind", "above"]).select("kind", "id", F.col("further").alias("above")))
+        n, before, reach_ = targets(), n, 2 * reach_
+    if n:
+        known = _around_rings(steps, up.select("kind", F.col("above").alias("id")).distinct(), known)
+    if tangled is not None:
+        pairs = closure(tangled.select(_of_kind("src").alias("src"), _of_kind("dst").alias("dst")))
+        far = pairs.groupBy("start").agg(F.max("hop").alias("depth"))
+        known = known.unionByName(far.select(F.substring_index("start", "\u0001", 1).alias("kind"), F.substr("start", F.instr("start", F.lit("\u0001")) + 1).alias("id"), "depth"))
+    return known
+
+
+def _of_kind(end: str) -> Column:
+    return F.concat("kind", F.lit("\u0001"), end)
+
+
+def _around_rings(steps: DataFrame, ring: DataFrame, known: DataFrame) -> DataFrame:
+    """Heights again for nodes on rings: the farthest of all ring nodes, each with the tree that hangs on it."""
+    ring = cut(ring)
+    on = ring.select("kind", F.col("id").alias("src"))
+    within = steps.join(on, ["kind", "src"], "left_semi").join(ring.select("kind", F.col("id").alias("dst")), ["kind", "dst"], "left_semi")
+    hanging = steps.join(on, ["kind", "src"], "left_semi").join(ring.select("kind", F.col("id").alias("dst")), ["kind", "dst"], "left_anti")
+    tree = hanging.join(known.select("kind", F.col("id").alias("dst"), "depth"), ["kind", "dst"], "left").groupBy("kind", F.col("src").alias("id")).agg(F.max(F.coalesce("depth", F.lit(0)) + 1).alias("tree"))
+    pairs = closure(within.select(_of_kind("src").alias("src"), _of_kind("dst").alias("dst")))
+    name = lambda c: F.substr(c, F.instr(c, F.lit("\u0001")) + 1)
+    pairs = pairs.select(F.substring_index("start", "\u0001", 1).alias("kind"), name("start").alias("start"), name("id").alias("id"), "hop").unionByName(ring.select("kind", F.col("id").alias("start"), "id", F.lit(0).cast("bigint").alias("hop")))
+    far = pairs.join(tree, ["kind", "id"], "left").groupBy("kind", F.col("start").alias("id")).agg(F.max(F.col("hop") + F.coalesce("tree", F.lit(0))).alias("depth"))
+    return known.join(ring, ["kind", "id"], "left_anti").unionByName(far)
+
+
+def depths(edges: DataFrame, nodes: DataFrame, edge_types: Sequence[str]) -> DataFrame:
+    """(kind, id, depth) per edge type: levels of a breadth-first search from every node that has such an edge; destinations must be nodes."""
+    steps = edges.where(F.col("type").isin(*edge_types)).select(F.col("type").alias("kind"), "src", "dst")
+    steps = steps.join(nodes.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select("kind", "src", "dst")
+    found = heights(steps)
+    alone = steps.where(F.col("src") == F.col("dst")).select("kind", F.col("src").alias("id")).distinct().join(found, ["kind", "id"], "left_anti")  # these reach themselves only
+    return found.unionByName(alone.withColumn("depth", F.lit(0).cast("bigint")))
+
+
 def depth_from_all(edges: DataFrame, nodes: DataFrame, edge_type: str) -> DataFrame:
-    """(id, depth): levels of a breadth-first search along one edge type from every node that has such an edge; destinations must be nodes."""
-    steps = neighbors(edges, nodes, edge_type).select("src", "dst").distinct()
-    return closure(steps).groupBy(F.col("start").alias("id")).agg(F.max("hop").alias("depth"))
+    """(id, depth) along one edge type."""
+    return depths(edges, nodes, [edge_type]).select("id", "depth")
 
 
 def resolved_chains(edges: DataFrame, nodes: DataFrame) -> DataFrame:

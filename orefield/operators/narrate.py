@@ -19,7 +19,6 @@ from orefield.plans.lineage import cut
 #: The reply of the deterministic narrator.
 MOCK_RULE = "Business rule for {}: performs standard data processing with conditional branching."
 MOCK_EDGE_CASE = "Review edge case around date boundary crossing"
-SYSTEM_LENGTH = 120
 
 
 class Narrator(Protocol):
@@ -28,10 +27,10 @@ class Narrator(Protocol):
     def __call__(self, prompts: list[str]) -> list[str]: ...
 
 
-def gated(units: DataFrame) -> DataFrame:
-    """(unit_id, kind, name, redacted, hash): the only form in which units reach a narrator."""
+def gated(units: DataFrame, *more: str) -> DataFrame:
+    """(unit_id, kind, name, redacted, hash) and the columns asked for: the only form in which units reach a narrator."""
     text = redact(F.col("source"))
-    return units.where(F.coalesce("source", F.lit("")) != "").select("unit_id", "kind", "name", text.alias("redacted")).withColumn("hash", content_hash(F.col("redacted")))
+    return units.where(F.coalesce("source", F.lit("")) != "").select("unit_id", "kind", "name", *more, text.alias("redacted")).withColumn("hash", content_hash(F.col("redacted")))
 
 
 def prompt(kind: Column, name: Column, text: Column) -> Column:
@@ -39,10 +38,11 @@ def prompt(kind: Column, name: Column, text: Column) -> Column:
 
 
 def to_narrate(units: DataFrame, narrations: DataFrame) -> DataFrame:
-    """(hash, kind, name, redacted, n_units): distinct redacted texts that no valid narration covers, each with its least unit."""
+    """(hash, kind, name, redacted, n_units): distinct redacted texts of units, or of what ``gated`` made of them, that no valid narration covers, each with its least unit."""
+    made = units if {"redacted", "hash"} <= set(units.columns) else gated(units)
     known = narrations.where(~F.coalesce("stale", F.lit(False))).select(F.col("content_hash").alias("hash"))
     first = F.min_by(F.struct("kind", "name", "redacted"), "unit_id")
-    return gated(units).join(known, "hash", "left_anti").groupBy("hash").agg(first.alias("u"), F.count(F.lit(1)).alias("n_units")).select("hash", "u.kind", "u.name", "u.redacted", "n_units")
+    return made.join(known, "hash", "left_anti").groupBy("hash").agg(first.alias("u"), F.count(F.lit(1)).alias("n_units")).select("hash", "u.kind", "u.name", "u.redacted", "n_units")
 
 
 def mock_reply(name: Column, text: Column) -> Column:

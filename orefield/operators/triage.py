@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orefield.functions.model import prop_count, prop_number
 from orefield.functions.text import content_hash, redact, token_estimate
-from orefield.operators.graph import depth_from_all
+from orefield.operators.graph import depths
 
 
 @dataclass(frozen=True)
@@ -36,9 +36,9 @@ def risk_score(profile: RiskProfile = RiskProfile()) -> Column:
 
 def scored(nodes: DataFrame, edges: DataFrame, profile: RiskProfile = RiskProfile()) -> DataFrame:
     """Nodes with ``risk``: the score, plus cascade depth for tables and chain depth for triggers."""
-    depth = (
-        depth_from_all(edges, nodes, "CASCADES_TO").select("id", F.lit("DB2Table").alias("type"), (F.col("depth") * profile.cascade).alias("extra"))
-        .unionByName(depth_from_all(edges, nodes, "TRIGGERS_TRIGGER").select("id", F.lit("Trigger").alias("type"), (F.col("depth") * profile.trigger_chain).alias("extra")))
+    cascades = F.col("kind") == "CASCADES_TO"
+    depth = depths(edges, nodes, ["CASCADES_TO", "TRIGGERS_TRIGGER"]).select(
+        "id", F.when(cascades, "DB2Table").otherwise("Trigger").alias("type"), (F.col("depth") * F.when(cascades, profile.cascade).otherwise(profile.trigger_chain)).alias("extra"),
     )
     return nodes.join(depth, ["id", "type"], "left").withColumn("risk", F.round(risk_score(profile) + F.coalesce("extra", F.lit(0.0)), 6)).drop("extra")
 

@@ -83,3 +83,35 @@ def test_impact_of_many_starts_equals_sql(spark):
     for name in ("impact_2hop_starts", "impact_3hop_starts"):
         got = entry.queries()[name](spark, folder).select("start", "id", "hop", "type", "name")
         assert rows(got) == sorted(con.execute(entry.oracle_sql()[name]).fetchall(), key=str)
+
+
+def test_heights_equal_a_search_from_every_node(spark):
+    import random
+
+    from orefield.operators.graph import heights
+
+    rnd = random.Random(5)
+    for rings, several in ((False, False), (True, False), (True, True)):
+        steps = set()
+        for kind in ("A", "B"):
+            for i in range(1, 60):
+                steps.add((kind, f"n{rnd.randrange(max(0, i - 6), i)}", f"n{i}"))
+            if rings:
+                steps |= {(kind, "n59", "n0"), (kind, "r1", "r2"), (kind, "r2", "r1"), (kind, "r2", "r3"), (kind, "s", "s"), (kind, "r3", "r4")}
+            if several:
+                steps |= {(kind, f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(9)}
+        want = {}
+        for kind in ("A", "B"):
+            down = {}
+            for k, a, b in steps:
+                if k == kind and a != b:
+                    down.setdefault(a, set()).add(b)
+            for start in down:
+                seen, frontier, level = {start}, {start}, 0
+                while frontier := {b for a in frontier for b in down.get(a, ())} - seen:
+                    seen |= frontier
+                    level += 1
+                want[kind, start] = level
+        df = spark.createDataFrame(sorted(steps), "kind string, src string, dst string")
+        assert {(r["kind"], r["id"]): r["depth"] for r in heights(df).collect()} == want
+    assert heights(spark.createDataFrame([], "kind string, src string, dst string")).count() == 0
