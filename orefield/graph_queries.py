@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefield.functions.model import prop
 from orefield.functions.text import REDACTIONS, content_hash, redact, redaction_counts
 from orefield.operators import extract, graph, narrate, reports, triage
 from orefield.plans.lineage import cut
-from orefield.sources import store
+from orefield.sources import cache, store
 from orefield.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,6 +247,84 @@ def mock_narration(spark: SparkSession, d: str) -> DataFrame:
     return narrate.spent_before(_narrated(spark, d), "tokens", ["hash"]).select("hash", "n_units", "tokens", "spent")
 
 
+def narration_cache(spark: SparkSession, d: str) -> DataFrame:
+    """State of a cache into which every unit was put when loaded, configurations marked stale and expanded copybooks verified after it."""
+    u = table(spark, d, "units").where(F.col("content_hash").isNotNull())
+    hash_, ts, seq = F.col("content_hash"), F.col("loaded_at"), F.col("unit_id") * 2
+    log = cache.puts(u, hash_, F.col("name"), F.coalesce("post_expansion", F.lit(False)), ts, seq)
+    log = log.unionByName(cache.marks(u.where("kind = 'config'"), hash_, "stale", ts, seq + 1)).unionByName(cache.marks(u.where("kind = 'copybook' and post_expansion"), hash_, "verify", ts, seq + 1))
+    return cache.narrations(log).select("content_hash", "payload", "created_at", "human_verified", "stale")
+
+
+def narration_totals(spark: SparkSession, d: str) -> DataFrame:
+    made, known = _gated(spark, d)
+    return narrate.totals(made, known, narrate.reply_tokens(narrate.mock_reply(F.col("name"), F.col("redacted"))))
+
+
+def _delivered(spark: SparkSession, d: str) -> DataFrame:
+    """(id, first_hash, last_hash, source, verified, first_unit, last_unit): paragraphs by place and name, as first and last delivered."""
+    u = table(spark, d, "units").where((F.col("kind") == "paragraph") & F.col("source_file").isNotNull() & F.col("name").isNotNull() & F.col("codebase_id").isNotNull())
+    made = narrate.gated(u, "codebase_id", "source_file", "source", "post_expansion").withColumn("id", F.concat_ws(":", F.lit("Paragraph"), "codebase_id", "source_file", "name"))
+    return cut(made.groupBy("id").agg(
+        F.min_by("hash", "unit_id").alias("first_hash"), F.max_by("hash", "unit_id").alias("last_hash"), F.max_by("source", "unit_id").alias("source"), F.max("name").alias("name"),
+        F.max_by(F.coalesce("post_expansion", F.lit(False)), "unit_id").alias("verified"), F.count(F.lit(1)).alias("n_rows"),
+    ))
+
+
+def _risk_of_text() -> Column:
+    return F.round(F.regexp_count("source", F.lit(r"\b(?:IF|EVALUATE|PERFORM)\b")) * 0.5, 4)
+
+
+def triage_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs whose text changed since it was first narrated, or whose narration is stale, by risk within the budget."""
+    p = _delivered(spark, d)
+    rule = F.concat(F.lit("BusinessRule:"), "id")
+    rules = p.select(rule.alias("id"), F.col("first_hash").alias("content_hash"))
+    risky = p.select("id", _risk_of_text().alias("risk"))
+    return triage.work_queue(p.select("id", "source"), p.select(F.col("id").alias("src"), rule.alias("dst")), rules, _gated(spark, d)[1], risky, BUDGET, 1.0)
+
+
+def _rules(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rules of the paragraphs as last delivered, their implements edges, and the paragraphs as nodes."""
+    p = _delivered(spark, d)
+    rule = F.concat(F.lit("BusinessRule:"), "id")
+    facts = F.to_json(F.struct(F.array(F.lit(narrate.MOCK_EDGE_CASE)).alias("edge_cases"), F.col("verified").alias("human_verified"), F.concat(F.lit("Rule of "), "name").alias("rule")))
+    return p.select(rule.alias("id"), F.concat(F.lit("Rule for "), "name").alias("name"), facts.alias("properties"), _risk_of_text().alias("risk")), p.select(F.col("id").alias("src"), rule.alias("dst")), p.select("id", "name")
+
+
+def suggested_tests(spark: SparkSession, d: str) -> DataFrame:
+    """The verified rules of highest risk, with what to test."""
+    return reports.suggested_tests(*_rules(spark, d)).withColumn("scenarios", F.array_join("scenarios", "; "))
+
+
+def rule_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reports.rule_counts(_rules(spark, d)[0])
+
+
+def rule_history(spark: SparkSession, d: str) -> DataFrame:
+    """Rules changed over time, stable or unverified, by the deliveries of their paragraphs."""
+    u = table(spark, d, "units").where("kind = 'paragraph' and coalesce(source, '') <> ''")
+    log = u.select(F.concat(F.lit("BusinessRule:"), F.concat_ws(":", F.lit("Paragraph"), "codebase_id", "source_file", "name")).alias("id"), F.lit("BusinessRule").alias("type"), F.col("loaded_at").alias("ts"))
+    return reports.rule_history(_rules(spark, d)[0], log).select("id", "state", "n_rows", "last_ts")
+
+
+def report_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of all reports in one form, as they are written partitioned by category."""
+    nodes, edges = _graph(spark, d)
+    rules = _rules(spark, d)
+    parts = [
+        reports.document(reports.copybooks(nodes, edges), "copybooks", F.col("id"), "name", "n_fields", "n_users"),
+        reports.document(reports.migration_candidates(nodes), "migration", F.col("id"), "name", "risk"),
+        reports.document(reports.suggested_tests(*rules), "tests", F.col("id"), "name", "risk", "paragraph"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def build_sample(spark: SparkSession, d: str) -> DataFrame:
+    """What a summary of the build shows first."""
+    return reports.sample(_nodes(spark, d))
+
+
 # ---------------------------------------------------------------- reports
 
 def unreachable(spark: SparkSession, d: str) -> DataFrame:
@@ -363,7 +441,7 @@ def extract_unit_tokens(spark: SparkSession, d: str) -> DataFrame:
 _NAMES = [
     list_nodes, latest_nodes, node_history_ops, edge_first_wins, store_diff, changed_ids, sql_passthrough, node_counts_by_type, edge_counts_by_type, graph_summary, hub_nodes, neighbors_out,
     predecessors_in, touching, what_runs, triggers_on, impact_2hop, impact_3hop, impact_2hop_starts, impact_3hop_starts, cascade_depth_all, trigger_chain_depth, content_hashes, dedup_groups, unit_changes, redact_units, redact_documents,
-    redaction_findings, risk_score, combined_risk, top_risk, risk_bands, work_queue_greedy, narration_plan, mock_narration, unreachable, standalone, pattern_findings, dependency_map, copybook_usage,
+    redaction_findings, risk_score, combined_risk, top_risk, risk_bands, work_queue_greedy, narration_plan, mock_narration, narration_cache, narration_totals, triage_queue, suggested_tests, rule_counts, rule_history, report_documents, build_sample, unreachable, standalone, pattern_findings, dependency_map, copybook_usage,
     workflow_steps, change_history, migration_candidates, program_rollup, extract_counts, extract_nodes, extract_edges, extract_calls, extract_paragraphs, extract_includes, extract_sql_access, extract_fields,
     extract_copybooks, extract_jcl_steps, extract_jcl_lineage, extract_tables, extract_triggers, extract_maps, extract_unit_tokens,
 ]
@@ -397,6 +475,12 @@ todo AS (SELECT hash, u.kind AS kind, u.name AS name, n_units, length('{{"rule":
   || greatest(1, length(u.r) - length(replace(u.r, chr(10), '')) + 1) || '],"edge_cases":["Review edge case around date boundary crossing"]}}') // 4 + 1 AS tokens FROM first)"""
 
 
+_DELIVERED = f"""{_TODO}, v AS (SELECT concat_ws(':', 'Paragraph', w.codebase_id, w.source_file, w.name) AS id, w.name, w.source, w.loaded_at, coalesce(w.post_expansion, false) AS expanded, h.hash, w.unit_id FROM h JOIN units w USING (unit_id)
+  WHERE w.kind = 'paragraph' AND w.source_file IS NOT NULL AND w.name IS NOT NULL AND w.codebase_id IS NOT NULL),
+d AS (SELECT id, max(name) AS name, arg_min(hash, unit_id) AS first_hash, arg_max(hash, unit_id) AS last_hash, arg_max(source, unit_id) AS source, arg_max(expanded, unit_id) AS verified, count(*) AS n_rows, max(loaded_at) AS last_ts FROM v GROUP BY 1),
+p AS (SELECT *, round(len(regexp_extract_all(source, '\\b(?:IF|EVALUATE|PERFORM)\\b')) * 0.5::double, 4) AS risk FROM d)"""
+
+
 def _depth(edge_type: str) -> str:
     return f"""{_NE}, s AS (SELECT DISTINCT e.src, e.dst FROM e JOIN n ON n.id = e.dst WHERE e.type = '{edge_type}'),
 r AS (SELECT src AS start, src AS id, 0 AS hop FROM s UNION SELECT r.start, s.dst, r.hop + 1 FROM r JOIN s ON s.src = r.id WHERE r.hop < 60),
@@ -476,6 +560,22 @@ SQL: dict[str, str] = {
     "unit_changes": "WITH u AS (SELECT unit_id, kind || ':' || codebase_id || ':' || name AS k, content_hash FROM units WHERE name IS NOT NULL AND content_hash IS NOT NULL), f AS (SELECT k, arg_min(content_hash, unit_id) AS h, min(unit_id) AS first_unit FROM u GROUP BY 1) SELECT CASE WHEN u.content_hash = f.h THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS n FROM u JOIN f USING (k) WHERE u.unit_id > f.first_unit GROUP BY 1",
     "narration_plan": f"{_TODO} SELECT hash, kind, name, n_units FROM todo",
     "mock_narration": f"{_TODO} SELECT hash, n_units, tokens, coalesce(sum(tokens) OVER (ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS spent FROM todo",
+    "narration_cache": """WITH l AS (SELECT content_hash, 'put' AS op, name, coalesce(post_expansion, false) AS v, loaded_at, unit_id * 2 AS seq FROM units WHERE content_hash IS NOT NULL
+  UNION ALL SELECT content_hash, 'stale', NULL, NULL, NULL, unit_id * 2 + 1 FROM units WHERE content_hash IS NOT NULL AND kind = 'config' UNION ALL SELECT content_hash, 'verify', NULL, NULL, NULL, unit_id * 2 + 1 FROM units WHERE content_hash IS NOT NULL AND kind = 'copybook' AND post_expansion),
+s AS (SELECT content_hash, arg_max(struct_pack(name := name, v := v, at := loaded_at), seq) FILTER (op = 'put') AS p, max(seq) FILTER (op = 'put') AS put_seq, max(seq) FILTER (op = 'verify') AS v_seq, max(seq) FILTER (op = 'stale') AS s_seq FROM l GROUP BY 1)
+SELECT content_hash, p.name AS payload, p.at AS created_at, p.v OR coalesce(v_seq > put_seq, false) AS human_verified, coalesce(s_seq > put_seq, false) AS stale FROM s""",
+    "narration_totals": f"""{_TODO} SELECT (SELECT count(*) FROM todo) AS created, (SELECT count(*) FROM h SEMI JOIN known USING (hash)) AS cache_hits, (SELECT coalesce(sum(tokens), 0)::bigint FROM todo) AS tokens,
+  (SELECT count(*) FROM h WHERE contains(r, '[REDACTED]')) AS redacted, (SELECT coalesce(sum(n_units - 1), 0)::bigint FROM todo) AS repeats""",
+    "triage_queue": f"""{_DELIVERED.replace('WITH g AS', 'WITH RECURSIVE g AS', 1)}, narr AS (SELECT hash, bool_and(coalesce(post_expansion, false)) AS stale FROM h WHERE loaded_at < TIMESTAMP '2025-07-01' GROUP BY 1),
+i AS (SELECT p.id AS node_id, p.risk, greatest(1, length(p.source) // 4) AS tokens, CASE WHEN coalesce(narr.stale, false) THEN 'stale' ELSE 'changed' END AS reason FROM p LEFT JOIN narr ON narr.hash = p.first_hash WHERE p.first_hash <> p.last_hash OR coalesce(narr.stale, false)),
+o AS (SELECT *, row_number() OVER (ORDER BY risk DESC, node_id) AS k FROM i WHERE risk >= 1.0 AND tokens <= {BUDGET}),
+c AS (SELECT 0::bigint AS k, {BUDGET}::bigint AS remaining, false AS taken UNION ALL SELECT o.k, CASE WHEN o.tokens <= c.remaining THEN c.remaining - o.tokens ELSE c.remaining END, o.tokens <= c.remaining FROM c JOIN o ON o.k = c.k + 1)
+SELECT o.node_id, o.risk, o.tokens, o.reason FROM o JOIN c ON c.k = o.k WHERE c.taken""",
+    "suggested_tests": f"""{_DELIVERED} SELECT 'BusinessRule:' || id AS id, 'Rule for ' || name AS name, round(risk, 1) AS risk, name AS paragraph, substr('Rule of ' || name, 1, 120) AS rule,
+  'Review edge case around date boundary crossing; normal run of ' || name || '; boundaries of dates and numbers; invalid input to ' || name || '; ' || name || ' within the program that calls it' AS scenarios FROM p WHERE verified ORDER BY p.risk DESC, 'BusinessRule:' || p.id LIMIT 15""",
+    "rule_counts": f"{_DELIVERED} SELECT count(*) AS n_rules, count(*) FILTER (verified) AS n_verified, count(*) FILTER (NOT verified) AS n_unverified FROM p",
+    "rule_history": f"{_DELIVERED} SELECT 'BusinessRule:' || id AS id, CASE WHEN n_rows > 1 THEN 'changed' WHEN verified THEN 'stable' ELSE 'unverified' END AS state, n_rows, last_ts FROM p",
+    "build_sample": f"WITH {_N} SELECT id, type, name FROM n ORDER BY CASE WHEN type IN ('Program', 'Paragraph', 'BusinessRule') THEN 0 ELSE 1 END, type, lower(name), id LIMIT 10",
     "redact_units": f"SELECT unit_id, sha256({_redacted('source')}) AS redacted_hash FROM units WHERE source IS NOT NULL",
     "redact_documents": f"SELECT doc_id, {_redacted('text')} AS redacted FROM documents WHERE text IS NOT NULL",
     "risk_score": f"WITH {_N} SELECT id, round({_RISK}, 4) AS risk FROM n WHERE type IN ('Program', 'Paragraph')",

@@ -101,3 +101,17 @@ def rule_nodes(units: DataFrame, replies: DataFrame, codebase: Column) -> tuple[
     rule_id = F.concat(F.lit("BusinessRule:"), codebase, F.lit(":"), F.col("name"), F.lit(":"), F.substring("hash", 1, 8))
     nodes = made.select(rule_id.alias("id"), F.lit("BusinessRule").alias("type"), F.concat(F.lit("Rule for "), F.col("name")).alias("name"), F.col("hash").alias("content_hash"), F.col("reply").alias("properties")).dropDuplicates(["id"])
     return nodes, made.select(F.col("node_id").alias("src"), rule_id.alias("dst"), F.lit("IMPLEMENTS_RULE").alias("type"))
+
+
+def totals(made: DataFrame, narrations: DataFrame, tokens: Column) -> DataFrame:
+    """One row over the outcomes of a run on ``gated`` units: texts created, units served by them or from before, tokens spent, units with redactions, units skipped as repeats.
+
+    ``tokens`` is computed once per text that is narrated.
+    """
+    todo = to_narrate(made, narrations)
+    new = todo.agg(F.count(F.lit(1)).alias("created"), F.coalesce(F.sum(tokens), F.lit(0)).cast("bigint").alias("tokens"), F.coalesce(F.sum(F.col("n_units") - 1), F.lit(0)).alias("repeats"))
+    known = narrations.where(~F.coalesce("stale", F.lit(False))).select(F.col("content_hash").alias("hash"))
+    old = made.join(known, "hash", "left_semi").agg(F.count(F.lit(1)).alias("cache_hits"))
+    hidden = made.agg(F.count_if(F.contains("redacted", F.lit("[REDACTED]"))).alias("redacted"))
+    one = lambda df: df.withColumn("__one", F.lit(1))  # noqa: E731  # one row on either side
+    return one(new).join(one(old), "__one").join(one(hidden), "__one").select("created", "cache_hits", "tokens", "redacted", "repeats")

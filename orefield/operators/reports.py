@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,3 +90,59 @@ def document(rows: DataFrame, category: str, title: Column, *columns: str) -> Da
     """(category, id, title, content): one line of a Markdown table per row, for writing partitioned by category."""
     cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
     return rows.select(F.lit(category).alias("category"), slug(title).alias("id"), title.alias("title"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("content"))
+
+
+def verified(of: str = "properties") -> Column:
+    """Is a rule marked as verified by a reader?  Anything but a plain yes is none."""
+    return F.coalesce(F.lower(prop("human_verified", of)).isin("true", "1", "yes"), F.lit(False))
+
+
+def rule_counts(rules: DataFrame) -> DataFrame:
+    """One row: rules, verified and unverified ones."""
+    return rules.agg(F.count(F.lit(1)).alias("n_rules"), F.count_if(verified()).alias("n_verified"), F.count_if(~verified()).alias("n_unverified"))
+
+
+def suggested_tests(rules: DataFrame, implements: DataFrame, nodes: DataFrame, k: int = 15) -> DataFrame:
+    """(id, name, risk, paragraph, rule, scenarios): the k verified rules of highest risk with the paragraph that implements each and what to test.
+
+    rules (id, name, properties, risk), implements edges (src, dst).  Of several paragraphs the one of greatest id counts; without one the rule stands for itself.
+    """
+    top = rules.where(verified()).orderBy(F.desc("risk"), "id").limit(k)
+    known = nodes.select(F.col("id").alias("src"), F.col("name").alias("paragraph"))
+    parents = implements.select("src", F.col("dst").alias("id")).join(F.broadcast(top.select("id")), "id", "left_semi").join(known, "src")  # at most k rules
+    parent = parents.groupBy("id").agg(F.max_by("paragraph", "src").alias("paragraph"))
+    paragraph = F.coalesce("paragraph", "name")
+    scenarios = F.concat(
+        F.coalesce(F.from_json(prop("edge_cases"), "array<string>"), F.array().cast("array<string>")),
+        F.array(F.concat(F.lit("normal run of "), paragraph), F.lit("boundaries of dates and numbers"), F.concat(F.lit("invalid input to "), paragraph), F.concat(paragraph, F.lit(" within the program that calls it"))),
+    )
+    return top.join(parent, "id", "left").select("id", "name", F.round("risk", 1).alias("risk"), paragraph.alias("paragraph"), F.substring(F.coalesce(prop("rule"), F.lit("")), 1, 120).alias("rule"), scenarios.alias("scenarios"))
+
+
+def rule_history(rules: DataFrame, log: DataFrame) -> DataFrame:
+    """(id, name, state, n_rows, last_ts) of every rule: changed over time, stable since it was first verified, or unverified."""
+    rows = log.where(F.col("type") == "BusinessRule").groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("ts").alias("last_ts"))
+    n = F.coalesce("n_rows", F.lit(0))
+    return rules.join(rows, "id", "left").select("id", "name", F.when(n > 1, "changed").when(verified(), "stable").otherwise("unverified").alias("state"), n.alias("n_rows"), "last_ts")
+
+
+def sample(nodes: DataFrame, k: int = 10) -> DataFrame:
+    """The k nodes that a summary shows: programs, paragraphs and rules first, then by type and name."""
+    first = F.when(F.col("type").isin("Program", "Paragraph", "BusinessRule"), 0).otherwise(1)
+    return nodes.orderBy(first, "type", F.lower("name"), "id").limit(k).select("id", "type", "name")
+
+
+def resolve_rule(nodes: DataFrame, asked: str) -> DataFrame:
+    """The rule that is meant: the one of that id, else the first whose name contains the text; one row or none."""
+    rules = nodes.where(F.col("type") == "BusinessRule")
+    tier = F.when(F.col("id") == asked, 1).when(F.contains("name", F.lit(asked)), 2)
+    return rules.withColumn("tier", tier).where(F.col("tier").isNotNull()).orderBy("tier", "id").limit(1).drop("tier")
+
+
+def write_reports(documents: list[DataFrame], folder: str) -> DataFrame:
+    """Write the lines of all reports partitioned by category, and a manifest (category, n_lines) beside them; gives the manifest."""
+    lines = reduce(DataFrame.unionByName, documents)
+    lines.write.mode("overwrite").partitionBy("category").parquet(f"{folder}/reports")
+    written = lines.sparkSession.read.schema(lines.schema).parquet(f"{folder}/reports")
+    written.groupBy("category").agg(F.count(F.lit(1)).alias("n_lines")).coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+    return lines.sparkSession.read.schema("category string, n_lines bigint").json(f"{folder}/manifest")

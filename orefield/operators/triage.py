@@ -90,6 +90,14 @@ def work_items(units: DataFrame, risky: DataFrame) -> DataFrame:
     return u.join(risky.select(F.col("id").alias("node_id"), "risk"), "node_id").select("node_id", "risk", "tokens")
 
 
+def work_queue(paragraphs: DataFrame, implements: DataFrame, rules: DataFrame, narrations: DataFrame, risky: DataFrame, budget: int = 50_000, threshold: float = 3.0) -> DataFrame:
+    """(node_id, risk, tokens, reason): what to narrate again within the budget: paragraphs whose rule changed or is stale (new ones are not queued), by falling risk."""
+    again = candidates(paragraphs, implements, rules, narrations).where(F.col("reason") != "new").select(F.col("id").alias("node_id"), "reason")
+    sized = paragraphs.select(F.col("id").alias("node_id"), F.col("source")).join(again, "node_id")
+    chosen = within_budget(work_items(sized, risky), budget, threshold)
+    return chosen.join(again, "node_id")
+
+
 def within_budget(items: DataFrame, budget: int, threshold: float = 0.0) -> DataFrame:
     """Greedy choice by falling risk: an item that no longer fits is passed over and smaller ones are still tried.
 

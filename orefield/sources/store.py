@@ -8,6 +8,7 @@ data: a node is its latest row, an edge its first.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,33 +63,45 @@ def codebase_diff(new: DataFrame, old: DataFrame, codebase_id: str) -> DataFrame
 
 
 class GraphStore:
-    """A folder with ``nodes_log`` and ``edges_log``, each a folder of numbered batches."""
+    """A folder with ``nodes_log`` and ``edges_log``, each a folder of numbered batches.
+
+    A batch is a folder ``batch=<number>-<token>``.  The token names the batch for good: a batch that is
+    there as a whole is not written again, one that was left half written is replaced, so a replayed
+    write changes nothing.  Writers without a token get one of their own, so two of them never write
+    into one folder.  ``seq`` is (number, token, row): the order of batches, then that within a batch.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _next(self, log: str) -> int:
+    def _write(self, rows: DataFrame, log: str, token: str | None) -> None:
+        token = token or uuid.uuid4().hex
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{log}")
         fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return 0
-        return 1 + max((int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(fs_path) if "=" in s.getPath().getName()), default=-1)
-
-    def add_nodes(self, nodes: DataFrame, ts=None) -> None:
+        names = [s.getPath().getName() for s in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
+        batches = [name.split("=", 1)[1].split("-", 1) for name in names if name.startswith("batch=")]
+        mine = [int(number) for number, name in batches if name == token]
+        number = mine[0] if mine else 1 + max((int(number) for number, _ in batches), default=-1)
+        folder = f"{self.path}/{log}/batch={number}-{token}"
+        if mine and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")):
+            return
+        rows.write.mode("overwrite").parquet(folder)
+
+    def add_nodes(self, nodes: DataFrame, ts=None, token: str | None = None) -> None:
         """Append a batch; rows of a batch keep their order in ``seq``."""
-        batch = self._next("nodes_log")
         at = F.lit(ts).cast("timestamp") if ts else F.current_timestamp()
         columns = [F.col(c) if c in nodes.columns else F.lit(None).cast("double" if c == "parse_confidence" else "string").alias(c) for c in NODE_COLUMNS]
-        rows = nodes.select("id", *columns, (F.lit(batch).cast("bigint") * (1 << 48) + F.monotonically_increasing_id() % (1 << 48)).alias("seq"), at.alias("ts"))
-        rows.write.mode("error").parquet(f"{self.path}/nodes_log/batch={batch}")
+        self._write(nodes.select("id", *columns, F.monotonically_increasing_id().alias("row"), at.alias("ts")), "nodes_log", token)
 
-    def add_edges(self, edges: DataFrame, ts=None) -> None:
-        batch = self._next("edges_log")
+    def add_edges(self, edges: DataFrame, ts=None, token: str | None = None) -> None:
         at = F.lit(ts).cast("timestamp") if ts else F.current_timestamp()
-        edges.select("src", "dst", "type", F.col("properties") if "properties" in edges.columns else F.lit(None).cast("string").alias("properties"), at.alias("created_at")).write.mode("error").parquet(f"{self.path}/edges_log/batch={batch}")
+        properties = F.col("properties") if "properties" in edges.columns else F.lit(None).cast("string").alias("properties")
+        self._write(edges.select("src", "dst", "type", properties, at.alias("created_at")), "edges_log", token)
 
     def nodes_log(self) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.path}/nodes_log").parquet(f"{self.path}/nodes_log").drop("batch")
+        log = self.spark.read.option("basePath", f"{self.path}/nodes_log").option("partitionColumnTypeInference.enabled", "false").parquet(f"{self.path}/nodes_log")
+        batch = F.split(F.col("batch").cast("string"), "-", 2)
+        return log.withColumn("seq", F.struct(F.get(batch, F.lit(0)).cast("bigint").alias("batch"), F.get(batch, F.lit(1)).alias("token"), F.col("row"))).drop("batch", "row")
 
     def nodes(self) -> DataFrame:
         return latest_nodes(self.nodes_log())

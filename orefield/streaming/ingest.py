@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,12 +20,17 @@ def arriving_files(spark: SparkSession, folder: str, schema: str = SOURCE_FILES)
 
 
 def into_store(files: DataFrame, store: GraphStore, checkpoint: str) -> StreamingQuery:
-    """Extract every batch of arriving files and append its nodes and edges; ends when all files that are there are done."""
+    """Extract every batch of arriving files and append its nodes and edges; ends when all files that are there are done.
+
+    A batch is stored under the name of the stream (its checkpoint folder) and its number, so one that is
+    replayed after a failure is not stored twice.
+    """
+    stream = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
-    def append(batch: DataFrame, _: int) -> None:
+    def append(batch: DataFrame, number: int) -> None:
         made = extract(batch)
-        store.add_nodes(merged_nodes(made.nodes))
-        store.add_edges(merged_edges(made.edges))
+        store.add_nodes(merged_nodes(made.nodes), token=f"{stream}.{number}")
+        store.add_edges(merged_edges(made.edges), token=f"{stream}.{number}")
 
     return files.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

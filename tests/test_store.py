@@ -42,3 +42,25 @@ def test_read_tree_keeps_broken_bytes(spark, tmp_path):
     (tmp_path / "b.ddl").write_text("create table t (a int);")
     files = read_tree(spark, str(tmp_path), "cb")
     assert files.count() == 2 and of_kind(files, "cobol").first()["text"].endswith("�") and of_kind(files, "ddl").count() == 1
+
+
+def test_a_replayed_batch_is_stored_once_and_a_half_written_one_is_replaced(spark, tmp_path):
+    store = S.GraphStore(spark, str(tmp_path / "g"))
+    first = nodes(spark, [("P:a", "Program", "A", "cb", "h1", 1.0, None)])
+    store.add_nodes(first, dt(2024, 1, 1), token="s.0")
+    store.add_nodes(first, dt(2024, 1, 1), token="s.0")
+    assert store.nodes_log().count() == 1
+    store.add_nodes(nodes(spark, [("P:a", "Program", "A", "cb", "h2", 1.0, None)]), dt(2024, 1, 1), token="s.1")
+    store.add_nodes(first, dt(2024, 1, 1), token="s.0")
+    assert store.node("P:a").first()["content_hash"] == "h2" and [r["op"] for r in store.history().orderBy("seq").collect()] == ["add", "update"]
+    (tmp_path / "g/nodes_log/batch=1-s.1/_SUCCESS").unlink()
+    store.add_nodes(nodes(spark, [("P:a", "Program", "A", "cb", "h3", 1.0, None)]), dt(2024, 1, 1), token="s.1")
+    assert store.node("P:a").first()["content_hash"] == "h3" and store.nodes_log().count() == 2
+
+
+def test_read_tree_lists_what_is_too_large_and_unifies_line_ends(spark, tmp_path):
+    from orefield.sources.files import read_tree
+
+    (tmp_path / "a.cbl").write_bytes(b"A\r\nB\rC\n")
+    (tmp_path / "b.cbl").write_bytes(b"x" * 50)
+    assert {r["source_file"][-5:]: r["text"] for r in read_tree(spark, str(tmp_path), max_bytes=20).collect()} == {"a.cbl": "A\nB\nC\n", "b.cbl": None}

@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from orefield.functions.text import content_hash, redact
@@ -122,3 +123,51 @@ def test_reports(spark):
     assert rows(R.change_history(log, "Program")) == [("x", 2, 2, 1, 2)]
     doc = R.document(R.copybooks(nodes, edges), "copybooks", F.concat(F.lit("Book "), "name"), "name", "n_fields").first()
     assert (doc["id"], doc["content"]) == ("book-k", "| K | 1 |")
+
+
+def test_cache_log_is_latest_wins(spark):
+    from orefield.sources import cache as C
+
+    log = spark.createDataFrame(
+        [("h1", "put", "a", False, 1, 1), ("h1", "verify", None, None, 2, 2), ("h1", "stale", None, None, 3, 3), ("h2", "put", "b", True, 1, 4), ("h2", "stale", None, None, 2, 5), ("h2", "put", "c", False, 9, 6), ("h3", "stale", None, None, 1, 7), (None, "put", "x", True, 1, 8)],
+        "content_hash string, op string, payload string, human_verified boolean, ts int, seq int",
+    )
+    assert rows(C.narrations(log)) == [("h1", "a", 1, True, True), ("h2", "c", 9, False, False)] and C.narrations(log.limit(0)).count() == 0
+    units = spark.createDataFrame([("h", 1)], "h string, n int")
+    assert C.marks(units, F.col("h"), "stale", F.col("n"), F.col("n")).first()["op"] == "stale"
+    with pytest.raises(ValueError):
+        C.marks(units, F.col("h"), "drop", F.col("n"), F.col("n"))
+
+
+def test_rules_tests_history_and_written_reports(spark, tmp_path):
+    rules = spark.createDataFrame([("r1", "R1", '{"human_verified": true, "edge_cases": ["e"], "rule": "x"}', 2.0), ("r2", "R2", '{"human_verified": 1}', 5.0), ("r3", "R3", '{"human_verified": "no"}', 9.0), ("r4", "R4", None, 1.0)], "id string, name string, properties string, risk double")
+    links = spark.createDataFrame([("p1", "r1"), ("p2", "r1"), ("gone", "r2")], "src string, dst string")
+    nodes = spark.createDataFrame([("p1", "A"), ("p2", "B")], "id string, name string")
+    got = R.suggested_tests(rules, links, nodes).collect()
+    assert [(r["id"], r["paragraph"], r["rule"], r["scenarios"][0]) for r in got] == [("r2", "R2", "", "normal run of R2"), ("r1", "B", "x", "e")]
+    assert R.suggested_tests(rules, links, nodes, 1).count() == 1 and tuple(R.rule_counts(rules).first()) == (4, 2, 2)
+    log = spark.createDataFrame([("r1", "BusinessRule", 1), ("r1", "BusinessRule", 2), ("r2", "BusinessRule", 1), ("r3", "Program", 1)], "id string, type string, ts int")
+    assert rows(R.rule_history(rules, log)) == [("r1", "R1", "changed", 2, 2), ("r2", "R2", "stable", 1, 1), ("r3", "R3", "unverified", 0, None), ("r4", "R4", "unverified", 0, None)]
+    docs = [R.document(rules, "a", F.col("name"), "risk"), R.document(rules.limit(1), "b", F.col("name"), "risk")]
+    assert rows(R.write_reports(docs, str(tmp_path / "out"))) == [("a", 4), ("b", 1)] and spark.read.parquet(str(tmp_path / "out/reports")).count() == 5
+    some = spark.createDataFrame([("BusinessRule:c:ABX", "BusinessRule", "ABX"), ("BusinessRule:c:AB", "BusinessRule", "AB"), ("Program:c:AB", "Program", "AB"), ("T", "DB2Table", "a")], "id string, type string, name string")
+    assert [r["name"] for r in R.resolve_rule(some, "BX").collect()] == ["ABX"] and [r["name"] for r in R.resolve_rule(some, "BusinessRule:c:ABX").collect()] == ["ABX"] and R.resolve_rule(some, "zz").count() == 0
+    assert [r["id"] for r in R.sample(some, 3).collect()] == ["BusinessRule:c:AB", "BusinessRule:c:ABX", "Program:c:AB"]
+
+
+def test_work_queue_leaves_new_ones_out(spark):
+    p = spark.createDataFrame([("p1", "W" * 40), ("p2", "X" * 40), ("p3", "Y" * 40), ("p4", "Z" * 40)], "id string, source string")
+    h = {r["id"]: r["h"] for r in p.select("id", content_hash(redact(F.col("source"))).alias("h")).collect()}
+    rules = spark.createDataFrame([("r2", h["p2"]), ("r3", "old"), ("r4", h["p4"])], "id string, content_hash string")
+    links = spark.createDataFrame([("p2", "r2"), ("p3", "r3"), ("p4", "r4")], "src string, dst string")
+    done = spark.createDataFrame([(h["p4"], True), (h["p2"], False)], "content_hash string, stale boolean")
+    risky = spark.createDataFrame([("p1", 9.0), ("p2", 9.0), ("p3", 5.0), ("p4", 8.0)], "id string, risk double")
+    assert rows(T.work_queue(p, links, rules, done, risky, 100, 3.0)) == [("p3", 5.0, 10, "changed"), ("p4", 8.0, 10, "stale")]
+    assert [r["node_id"] for r in T.work_queue(p, links, rules, done, risky, 15, 3.0).collect()] == ["p4"]
+
+
+def test_totals(spark):
+    units = spark.createDataFrame([(1, "k", "A", "PASSWORD = x1\nB", "n"), (2, "k", "A2", "PASSWORD = x2\nB", "n"), (3, "k", "C", "other", "n"), (4, "k", "D", None, "n")], U)
+    made = M.gated(units)
+    known = made.where("name = 'C'").select(F.col("hash").alias("content_hash"), F.lit(False).alias("stale"))
+    assert tuple(M.totals(made, known, F.lit(7)).first()) == (1, 1, 7, 2, 1)
