@@ -12,7 +12,8 @@ from orefield.functions.text import REDACTIONS, content_hash, redact, redaction_
 from orefield.operators import extract, graph, narrate, reports, triage
 from orefield.plans.lineage import cut
 from orefield.sources import cache, store
-from orefield.sources.tables import table
+from orefield.sources.tables import micros, table
+from orefield.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 LOW, BUDGET, THRESHOLD = 1.0, 50_000, 3.0
@@ -320,6 +321,23 @@ def report_documents(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def event_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Events per kind and window of five minutes, with a watermark; as on the stream."""
+    e = table(spark, d, "events")
+    counted = ingest.arrivals(e.withColumn("ts", F.timestamp_micros(micros(e, "ts"))))
+    return counted.select(F.unix_micros("window_start").alias("window_start"), "event_type", "n")
+
+
+def codebase_diff(spark: SparkSession, d: str) -> DataFrame:
+    """store_diff within the largest codebase."""
+    log = table(spark, d, "node_history")
+    return store.codebase_diff(table(spark, d, "nodes").where(~F.col("type").isin("Field", "DB2Column")), store.latest_nodes(log), "ledger")
+
+
+def find_node(spark: SparkSession, d: str) -> DataFrame:
+    return graph.find(_nodes(spark, d), "ln", "Program").select("id", "name")
+
+
 def build_sample(spark: SparkSession, d: str) -> DataFrame:
     """What a summary of the build shows first."""
     return reports.sample(_nodes(spark, d))
@@ -441,7 +459,7 @@ def extract_unit_tokens(spark: SparkSession, d: str) -> DataFrame:
 _NAMES = [
     list_nodes, latest_nodes, node_history_ops, edge_first_wins, store_diff, changed_ids, sql_passthrough, node_counts_by_type, edge_counts_by_type, graph_summary, hub_nodes, neighbors_out,
     predecessors_in, touching, what_runs, triggers_on, impact_2hop, impact_3hop, impact_2hop_starts, impact_3hop_starts, cascade_depth_all, trigger_chain_depth, content_hashes, dedup_groups, unit_changes, redact_units, redact_documents,
-    redaction_findings, risk_score, combined_risk, top_risk, risk_bands, work_queue_greedy, narration_plan, mock_narration, narration_cache, narration_totals, triage_queue, suggested_tests, rule_counts, rule_history, report_documents, build_sample, unreachable, standalone, pattern_findings, dependency_map, copybook_usage,
+    redaction_findings, risk_score, combined_risk, top_risk, risk_bands, work_queue_greedy, narration_plan, mock_narration, narration_cache, narration_totals, triage_queue, suggested_tests, rule_counts, rule_history, report_documents, build_sample, event_arrivals, codebase_diff, find_node, unreachable, standalone, pattern_findings, dependency_map, copybook_usage,
     workflow_steps, change_history, migration_candidates, program_rollup, extract_counts, extract_nodes, extract_edges, extract_calls, extract_paragraphs, extract_includes, extract_sql_access, extract_fields,
     extract_copybooks, extract_jcl_steps, extract_jcl_lineage, extract_tables, extract_triggers, extract_maps, extract_unit_tokens,
 ]
@@ -520,6 +538,9 @@ _STANDALONE = "SELECT id FROM n WHERE type = 'Program' AND NOT EXISTS (SELECT 1
 _LINES = "string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
 _AREA = "CASE WHEN substr(x, 7, 1) IN ('*', '/') THEN '' WHEN length(x) >= 7 AND substr(x, 7, 1) NOT IN (' ', '-') THEN x[1:72] WHEN length(x) > 7 THEN x[8:72] ELSE x END"
 _LITERALS = """'(?:[^'']|'''')*''|"(?:[^"]|"")*"'""".replace("'(?:", "'''(?:", 1)
+_NAME = r"[A-Za-z_][\w$#]*(?:\.[A-Za-z_][\w$#]*)?"
+_VERBS = "|".join([*extract.STATEMENTS, *extract.CLAUSES, "END-[A-Z]+"])
+_BARE = f"regexp_replace({{}}, {_LITERALS}, '', 'g')"
 _CODE = rf"f AS (SELECT source_file, regexp_replace(array_to_string(list_transform({_LINES}, lambda x: regexp_replace({_AREA}, '\s+$', '')), chr(10)), {_LITERALS}, '', 'g') AS bare FROM source_files WHERE regexp_matches(source_file, '(?i)\.(cbl|cob)$'))"
 
 
@@ -615,6 +636,43 @@ SELECT source_file, upper(c) AS target, count(*) AS n FROM c GROUP BY 1, 2""",
 t AS (SELECT codebase_id, upper(regexp_extract(x, '(?i)TRIGGER\s+([A-Za-z_][\w$#.]*)', 1)) AS name, upper(regexp_extract(regexp_replace(x, '(?is)\bBEGIN\b.*$', ''), '(?i)\bON\s+([A-Za-z_][\w$#.]*)', 1)) AS tab, unnest(list_distinct(regexp_extract_all(regexp_extract(x, '(?is)\bBEGIN\b(.*)$', 1), '(?i)\b((?:INSERT\s+INTO|UPDATE|DELETE\s+FROM)\s+[A-Za-z_][\w$#.]*)', 1))) AS dml FROM s)
 SELECT 'Trigger:' || codebase_id || ':' || name AS src, 'DB2Table:' || codebase_id || ':' || tab AS dst, 'FIRES_ON' AS type, count(*) AS n FROM (SELECT DISTINCT codebase_id, name, tab FROM t) WHERE tab <> '' GROUP BY 1, 2
 UNION ALL SELECT 'Trigger:' || codebase_id || ':' || name, 'Trigger:' || codebase_id || ':ON:' || upper(regexp_extract(dml, '(\S+)$', 1)) || ':' || upper(regexp_extract(dml, '^(\w+)', 1)), 'TRIGGERS_TRIGGER', count(*) FROM t WHERE upper(regexp_extract(dml, '(\S+)$', 1)) <> tab GROUP BY 1, 2""",
+    "event_arrivals": "SELECT epoch_us(ts) // 300000000 * 300000000 AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "codebase_diff": "WITH o AS (SELECT id, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS k FROM node_history) WHERE k = 1 AND codebase_id = 'ledger'), w AS (SELECT id, content_hash FROM nodes WHERE type NOT IN ('Field', 'DB2Column') AND codebase_id = 'ledger') SELECT coalesce(w.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN w.id IS NULL THEN 'removed' ELSE 'changed' END AS status FROM w FULL JOIN o ON o.id = w.id WHERE o.id IS NULL OR w.id IS NULL OR w.content_hash IS DISTINCT FROM o.content_hash",
+    "find_node": f"WITH {_N} SELECT id, name FROM (SELECT *, CASE WHEN lower(name) = 'ln' OR id = 'ln' THEN 1 WHEN contains(lower(name), 'ln') OR contains(lower(id), 'ln') THEN 2 END AS tier FROM n WHERE type = 'Program') WHERE tier IS NOT NULL ORDER BY tier, id LIMIT 1",
+    "extract_copybooks": rf"""WITH c AS (SELECT source_file, array_to_string(list_filter(list_transform({_LINES}, lambda x: regexp_replace({_AREA}, '\s+$', '')), lambda x: trim(x) <> ''), chr(10)) AS code FROM source_files WHERE regexp_matches(source_file, '(?i)\.(cpy|copy)$')),
+e AS (SELECT source_file, unnest(list_filter(list_transform(regexp_split_to_array(code, '\.[ \t]*(?:\n|$)'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: regexp_matches(x, '^\d{{1,2}}(?:\s|$)') AND NOT regexp_matches(x, '^88\s'))) AS e FROM c),
+i AS (SELECT source_file, upper(regexp_extract(e, '^\d{{1,2}} ([A-Za-z0-9-]+)', 1)) AS name, upper(regexp_extract(e, '(?i) PIC(?:TURE)?(?: IS)? (\S+)', 1)) AS pic FROM e),
+b AS (SELECT source_file, (name = '' OR name IN ('PIC', 'PICTURE') OR regexp_matches(pic, '[^A-Z0-9()$/.,+\-*]')) AS bad FROM i)
+SELECT source_file, 'Field' AS type, count(*) AS n, min(CASE WHEN bad THEN 0.5::double ELSE 1.0::double END) AS confidence FROM b GROUP BY 1
+UNION ALL SELECT c.source_file, 'Copybook', 1, CASE WHEN coalesce(bool_or(bad), false) THEN 0.5::double ELSE 1.0::double END FROM c LEFT JOIN b ON b.source_file = c.source_file GROUP BY 1""",
+    "extract_jcl_lineage": rf"""WITH l AS (SELECT source_file, codebase_id, unnest({_LINES}) AS x, generate_subscripts({_LINES}, 1) AS k FROM source_files WHERE regexp_matches(source_file, '(?i)\.jcl$')),
+m AS (SELECT *, regexp_matches(x, '^//[ \t]+\S') AND coalesce(regexp_matches(lag(x) OVER w, '^//.*,[ \t]*$'), false) AS goes_on FROM l WHERE NOT starts_with(x, '//*') WINDOW w AS (PARTITION BY source_file ORDER BY k)),
+s AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY source_file ORDER BY k) AS stmt FROM m),
+t AS (SELECT source_file, codebase_id, stmt, string_agg(CASE WHEN goes_on THEN regexp_replace(x, '^//[ \t]+', '') ELSE x END, '' ORDER BY k) AS x FROM s GROUP BY ALL),
+f AS (SELECT source_file, min(stmt) AS first FROM t WHERE regexp_matches(x, '(?i)^//[A-Z0-9@#$.\-]*[ \t]+EXEC[ \t]') GROUP BY 1),
+d AS (SELECT codebase_id, upper(regexp_extract(x, '(?i)\bDSN(?:AME)?\s*=\s*''?([^'',\s()]+)', 1)) AS dsn, upper(regexp_extract(x, '(?i)\bDISP\s*=\s*\(?\s*([A-Z]+)', 1)) AS st, upper(regexp_extract(x, '(?i)\bDISP\s*=\s*\(\s*[A-Z]+\s*,\s*([A-Z]+)', 1)) AS normal
+  FROM t JOIN f USING (source_file) WHERE stmt > first AND regexp_matches(x, '(?i)^//\S*[ \t]+DD[ \t]+')),
+a AS (SELECT codebase_id, dsn, unnest(CASE WHEN st IN ('SHR', 'OLD') THEN ['READS'] WHEN st = 'MOD' AND normal = 'DELETE' THEN ['READS', 'WRITES'] WHEN st IN ('NEW', 'MOD') THEN ['WRITES'] ELSE [] END) AS type FROM d WHERE dsn <> '')
+SELECT 'Dataset:' || codebase_id || ':' || dsn AS dst, type, count(*) AS n FROM a GROUP BY 1, 2""",
+    "extract_tables": rf"""WITH c AS (SELECT source_file, regexp_replace(array_to_string({_LINES}, chr(10)), '--[^\n]*', '', 'g') AS code FROM source_files WHERE NOT regexp_matches(source_file, '(?i)\.(cbl|cob|cpy|copy|jcl|bms|map)$')),
+t AS (SELECT source_file, unnest(regexp_extract_all(code, '(?is)CREATE\s+TABLE\s+{_NAME}\s*\(.*?\)[^;)]*;')) AS stmt FROM c),
+e AS (SELECT source_file, trim(unnest(string_split(regexp_replace(regexp_replace(regexp_extract(stmt, '(?s)\((.*)\)[^;)]*;$', 1), '\([^()]*\)', '', 'g'), '\([^()]*\)', '', 'g'), ',')), ' ' || chr(10) || chr(9)) AS e FROM t),
+k AS (SELECT source_file, regexp_matches(e, '(?i)^(CONSTRAINT|PRIMARY|FOREIGN|CHECK|UNIQUE)\b') AS con, regexp_matches(e, '(?i)\bPRIMARY\s+KEY\b') AS pk, regexp_matches(e, '^[A-Za-z_]') AS named FROM e WHERE e <> ''),
+r AS (SELECT source_file, 'DB2Table' AS type FROM t UNION ALL SELECT source_file, 'DB2Column' FROM k WHERE NOT con AND named UNION ALL SELECT source_file, 'Constraint' FROM k WHERE con OR pk
+  UNION ALL SELECT source_file, 'Constraint' FROM (SELECT source_file, unnest(regexp_extract_all(code, '(?i)CREATE\s+(?:UNIQUE\s+)?INDEX\s+{_NAME}\s+ON\s+{_NAME}\s*\([^)]*\)\s*;')) FROM c)
+  UNION ALL SELECT source_file, 'View' FROM (SELECT source_file, unnest(regexp_extract_all(code, '(?is)CREATE\s+VIEW\s+{_NAME}\s.*?;')) FROM c))
+SELECT source_file, type, count(*) AS n FROM r GROUP BY 1, 2""",
+    "extract_paragraphs": rf"""WITH c AS (SELECT source_file, array_to_string(list_transform({_LINES}, lambda x: regexp_replace({_AREA}, '\s+$', '')), chr(10)) AS code FROM source_files WHERE regexp_matches(source_file, '(?i)\.(cbl|cob)$')),
+q AS (SELECT source_file, CASE WHEN regexp_extract(code, '(?i)PROGRAM-ID\.\s*([A-Z0-9-]+)', 1) <> '' THEN upper(regexp_extract(code, '(?i)PROGRAM-ID\.\s*([A-Z0-9-]+)', 1)) ELSE upper(regexp_extract(source_file, '([^/]*?)(?:\.[^./]*)?$', 1)) END AS program, string_split(regexp_extract(code, '(?is)\bPROCEDURE\s+DIVISION[^\n]*\n(.*)', 1), chr(10)) AS lines,
+  list_transform(regexp_extract_all({_BARE.format('code')}, '(?i)==[A-Z0-9-]+==\s+BY\s+==[A-Z0-9-]+=='), lambda p: string_split(p, '==')) AS pairs FROM c),
+l AS (SELECT source_file, program, unnest(lines) AS x, generate_subscripts(lines, 1) AS k FROM q),
+h AS (SELECT *, regexp_matches(x, '^[ \t]{{0,3}}[A-Z0-9][A-Z0-9-]*[ \t]*\.[ \t]*$') AND NOT regexp_matches(x, '^[ \t]*(?:{_VERBS})[ \t]*\.') AS head FROM l),
+g AS (SELECT *, sum(head::int) OVER (PARTITION BY source_file ORDER BY k) AS nth, sum(head::int) OVER (PARTITION BY source_file) AS heads FROM h),
+p AS (SELECT source_file, program, nth, heads, string_agg(trim(x), chr(10) ORDER BY k) FILTER (NOT head AND trim(x) <> '') AS body, max(CASE WHEN head THEN upper(regexp_extract(trim(x), '^[A-Za-z0-9-]+')) END) AS name FROM g GROUP BY ALL),
+v AS (SELECT source_file, program, CASE WHEN heads = 0 THEN 'MAIN' ELSE name END AS name, coalesce(body, '') AS body FROM p WHERE nth > 0 OR (heads = 0 AND regexp_matches(body, '(?i)\b(PERFORM|CALL)\b'))),
+b AS (SELECT v.*, {_BARE.format('v.body')} AS plain, list_reduce(list_prepend([name || '.' || chr(10) || v.body], list_transform(q.pairs, lambda p: [p[2], p[4]])), lambda a, p: [replace(a[1], '==' || upper(p[1]) || '==', upper(p[2]))])[1] AS source FROM v JOIN q USING (source_file))
+SELECT source_file, program || '.' || name AS full_name, 1 + len(regexp_extract_all(plain, '(?i)\bIF\b')) + len(regexp_extract_all(plain, '(?i)\bEVALUATE\b')) + len(list_filter(regexp_extract_all(plain, '(?i)\bPERFORM\s+([A-Z0-9-]+\s+(?:THRU|THROUGH)\s+[A-Z0-9-]+)', 1), lambda x: NOT regexp_matches(x, '(?i)^(UNTIL|VARYING|WITH|TEST)\b'))) AS cyclomatic,
+  len(regexp_extract_all(body, '(?m)\.\s*$')) AS statements, {_HASH.format('source')} AS hash FROM b""",
     "extract_maps": r"""SELECT 'CICSMap:' || codebase_id || ':' || upper(regexp_extract(text, '(?im)^([A-Z][\w$#]*)\s+DFHMSD\b', 1)) AS id, len(regexp_extract_all(text, '(?im)^[A-Z][\w$#]*\s+DFHMDI\b')) AS n_maps, len(regexp_extract_all(text, '(?im)^(?:[A-Z][\w$#]*)?[ \t]+DFHMDF\b')) AS n_fields
 FROM source_files WHERE regexp_matches(source_file, '(?i)\.(bms|map)$') AND regexp_matches(text, '(?im)^[A-Z][\w$#]*\s+DFHMSD\b')""",
 }
