@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LINE_END = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+#: Characters that end a line, besides the line feed itself.
+LINE_ENDS = "\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 #: Characters that are blank at the end of a line: the white space of Unicode.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
@@ -24,10 +25,14 @@ REDACTIONS = (
 LABEL = "[REDACTED]"
 
 
+def with_line_feeds(text: Column) -> Column:
+    """Text in which every line end is a line feed."""
+    return F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), LINE_ENDS, "\n" * len(LINE_ENDS))
+
+
 def lines(text: Column) -> Column:
-    """Lines of a text; a line end at the very end begins no further line."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    """Lines of a text; a line end at the very end begins no further line, an empty text has none."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(with_line_feeds(text), r"\n\z", ""), "\n", -1))
 
 
 def content_hash(text: Column) -> Column:
@@ -44,7 +49,7 @@ def content_area(line: Column) -> Column:
         .when(F.length(line) > 7, F.substring(line, 8, 65))
         .otherwise(line)
     )
-    return F.regexp_replace(area, r"\s+$", "")
+    return F.rtrim(area, F.lit(" \t\n\x0b\f\r"))
 
 
 def without_literals(text: Column) -> Column:

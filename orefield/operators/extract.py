@@ -75,9 +75,14 @@ def _after(words: Column, *keys: str, skip: str = "") -> Column:
     return out
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used within."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _pairs(words: Column) -> Column:
     """Every word with the one before it and the one before that."""
-    return F.transform(words, lambda w, i: F.struct(F.get(words, i - 2).alias("first"), F.get(words, i - 1).alias("before"), w.alias("word")))
+    return _let(words, lambda ws: F.transform(ws, lambda w, i: F.struct(F.get(ws, i - 2).alias("first"), F.get(ws, i - 1).alias("before"), w.alias("word"))))
 
 
 def _none(text: Column) -> Column:
@@ -118,7 +123,10 @@ def programs(files: DataFrame) -> DataFrame:
 def _sections(procedure: Column) -> Column:
     """(paragraph, body, lead) of a procedure division; code before the first header belongs to the first paragraph, or to MAIN if there is none."""
     # The line feed before keeps what precedes the first header a part of its own, if only an empty one.
-    parts = F.split(F.concat(F.lit("\n"), procedure), rf"(?m)^(?=[ \t]{{0,3}}{_HEADER})", -1)
+    return _let(F.split(F.concat(F.lit("\n"), procedure), rf"(?m)^(?=[ \t]{{0,3}}{_HEADER})", -1), _sections_of)
+
+
+def _sections_of(parts: Column) -> Column:
     lead = F.trim(F.get(parts, F.lit(0)))
     acts = lead.rlike(r"(?i)\b(PERFORM|CALL)\b")
     chosen = F.when((F.size(parts) == 1) & acts, F.array(F.concat(F.lit("MAIN.\n"), lead))).otherwise(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))))
@@ -164,8 +172,11 @@ _PICTURE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789()$/.,+-*"
 
 def _item(line: Column) -> Column:
     """(level, name, pic, redefines, occurs, bad, line) of a data item on one line, clause by clause."""
-    given = F.split(F.rtrim(F.regexp_replace(line, r"\.\s*$", "")), r"\s+")
-    words = F.transform(given, F.upper)
+    given = F.split(F.rtrim(F.rtrim(F.rtrim(line), F.lit("."))), r"\s+")
+    return _let(given, lambda g: _let(F.transform(g, F.upper), lambda w: _item_of(line, g, w)))
+
+
+def _item_of(line: Column, given: Column, words: Column) -> Column:
     name = F.regexp_extract(F.coalesce(F.get(given, F.lit(1)), F.lit("")), "^[A-Z0-9-]+", 0)
     at = F.greatest(F.array_position(words, "PIC"), F.array_position(words, "PICTURE")).cast("int")
     picture = F.when(at > 0, F.get(given, F.when(F.get(words, at) == "IS", at + 1).otherwise(at)))
@@ -260,9 +271,11 @@ def jumps(paras: DataFrame) -> DataFrame:
 
 def _entry_of(group: Column) -> Column:
     """(level, name, pic, redefines, occurs, bad, entry, conditions) of a field entry with the condition names that follow it."""
-    entry = F.substring_index(group, "\n", 1)
-    given = F.split(entry, " ")
-    words = F.transform(given, F.upper)
+    given = lambda entry: F.split(entry, " ")
+    return _let(F.substring_index(group, "\n", 1), lambda e: _let(given(e), lambda g: _let(F.transform(g, F.upper), lambda w: _entry_words(group, e, g, w))))
+
+
+def _entry_words(group: Column, entry: Column, given: Column, words: Column) -> Column:
     name = F.regexp_extract(F.coalesce(F.get(words, F.lit(1)), F.lit("")), "^[A-Z0-9-]+", 0)
     at = F.greatest(F.array_position(words, "PIC"), F.array_position(words, "PICTURE")).cast("int")
     picture = F.when(at > 0, F.get(given, F.when(F.get(words, at) == "IS", at + 1).otherwise(at)))
@@ -313,8 +326,8 @@ def jcl_parts(files: DataFrame) -> DataFrame:
 
 def _operands(text: Column) -> Column:
     """Operands of a card, cut at the commas outside parentheses and literals (up to three levels of parentheses)."""
-    whole = F.regexp_count(text, F.lit("'")) % 2 == 0
-    field = F.when(whole, F.regexp_extract(text, r"^(?:'[^'\n]*'|[^\s'])*+", 0)).otherwise(text)  # of a broken literal everything is kept
+    whole = lambda t: F.length(t) - F.length(F.replace(t, F.lit("'"), F.lit("")))
+    field = _let(text, lambda t: F.when(whole(t) % 2 == 0, F.regexp_extract(t, r"^(?:'[^'\n]*'|[^\s'])*+", 0)).otherwise(t))  # of a broken literal everything is kept
     inner = r"\([^()]*+\)"
     for _ in range(2):
         inner = rf"\((?:'[^']*+'|{inner}|[^()'])*+\)"
@@ -329,7 +342,10 @@ def _keyed(operands: Column, *keys: str) -> Column:
 
 def _dd(card: Column) -> Column:
     """(name, dsn, status, normal) of a DD card: data set, and the first two words of its disposition."""
-    operands = _operands(F.regexp_extract(card, r"(?i)^\S*[ \t]+DD[ \t]+(.*)$", 1))
+    return _let(_operands(F.regexp_extract(card, r"(?i)^\S*[ \t]+DD[ \t]+(.*)$", 1)), lambda operands: _dd_of(card, operands))
+
+
+def _dd_of(card: Column, operands: Column) -> Column:
     disposition = F.transform(F.split(F.btrim(_keyed(operands, "DISP"), F.lit("()")), ","), lambda x: F.upper(F.trim(x)))
     return F.struct(
         F.upper(F.regexp_extract(card, r"^(\S+)", 1)).alias("name"), F.upper(F.regexp_extract(_keyed(operands, "DSN", "DSNAME"), r"^[^,\s()]+", 0)).alias("dsn"),
@@ -339,17 +355,19 @@ def _dd(card: Column) -> Column:
 
 def jcl(files: DataFrame) -> Extract:
     p = jcl_parts(files)
-    card = F.substring_index("part", "\n", 1)
-    operands = _operands(F.regexp_extract(card, r"(?i)^\S*[ \t]+EXEC[ \t]+(.*)$", 1))
-    job_operands = _operands(F.regexp_extract("part", r"(?im)^//\S*[ \t]+JOB[ \t]+(.*)$", 1))
+    p = p.withColumn("card", F.substring_index("part", "\n", 1))
+    p = p.withColumn("exec", _operands(F.regexp_extract("card", r"(?i)^\S*[ \t]+EXEC[ \t]+(.*)$", 1))).withColumn("job_card", F.when(F.col("nth") == 0, _operands(F.regexp_extract("part", r"(?im)^//\S*[ \t]+JOB[ \t]+(.*)$", 1))))
+    card, operands, job_operands = F.col("card"), F.col("exec"), F.col("job_card")
     account = F.get(job_operands, F.lit(0))
     first = F.coalesce(F.get(operands, F.lit(0)), F.lit(""))
-    pgm = F.upper(F.regexp_extract(_keyed(operands, "PGM"), r"^[^,\s()]+", 0))
-    proc = F.when(pgm == "", F.upper(F.when(F.contains(first, F.lit("=")), _keyed(F.slice(operands, 1, 1), "PROC")).otherwise(F.regexp_extract(first, r"^[A-Za-z0-9@#$]+$", 0)))).otherwise("")
+    p = p.withColumn("pgm", F.upper(F.regexp_extract(_keyed(operands, "PGM"), r"^[^,\s()]+", 0)))
+    pgm = F.col("pgm")
+    proc = F.when(F.col("pgm") == "", F.upper(F.when(F.contains(first, F.lit("=")), _keyed(F.slice(operands, 1, 1), "PROC")).otherwise(F.regexp_extract(first, r"^[A-Za-z0-9@#$]+$", 0)))).otherwise("")
     # Lines outside in-stream data that are neither a card nor a remark are odd.
     known = r"(?i)^//(?:[A-Za-z0-9@#$]\S*)?[ \t]+(?:JOB|EXEC|DD|IF|THEN|ELSE|ENDIF|OUTPUT|JCLLIB|INCLUDE|SET|COMMAND|PROC|PEND)(?:\s|$)"
     odd = F.filter(F.split("part", "\n"), lambda x: x.startswith("//") & ~x.startswith("//*") & x.rlike(r"^//(?:\S*[ \t]+\S|[^\sA-Za-z0-9@#$])") & ~x.rlike(known))
-    label = F.upper(F.regexp_extract(card, r"^//([A-Za-z0-9@#$.\-]*)", 1))
+    p = p.withColumn("label", F.upper(F.regexp_extract("card", r"^//([A-Za-z0-9@#$.\-]*)", 1)))
+    label = F.col("label")
     conditions = F.transform(_all(F.col("part"), r"(?im)^//\S*[ \t]+((?:IF|THEN|ELSE|ENDIF)\b.*)$"), lambda x: F.concat(F.upper(F.regexp_extract(x, r"^\w+", 0)), F.lit(": "), F.coalesce(_none(F.trim(F.regexp_replace(x, r"^\w+", ""))), F.upper(F.regexp_extract(x, r"^\w+", 0)))))
     p = cut(p.select(
         "source_file", "codebase_id", "job", "nth", "part", F.when(label == "", "ANONSTEP").otherwise(label).alias("step"), pgm.alias("pgm"), proc.alias("proc"), F.btrim(_keyed(operands, "COND"), F.lit("()")).alias("cond"), conditions.alias("conditions"),
@@ -502,7 +520,10 @@ def procedures(files: DataFrame) -> Extract:
 
 def _clause(text: Column) -> Column:
     """(file, external, organization, access, key, alternate) of a SELECT clause, word by word; IS and MODE carry nothing."""
-    w = F.filter(F.transform(F.split(squeeze(F.upper(text)), " "), lambda x: F.rtrim(x, F.lit("."))), lambda x: ~x.isin("IS", "MODE", ""))
+    return _let(F.filter(F.transform(F.split(squeeze(F.upper(text)), " "), lambda x: F.rtrim(x, F.lit("."))), lambda x: ~x.isin("IS", "MODE", "")), _clause_of)
+
+
+def _clause_of(w: Column) -> Column:
     keys = F.filter(F.transform(w, lambda x, i: F.struct(F.get(w, i - 3).alias("zeroth"), F.get(w, i - 2).alias("first"), F.get(w, i - 1).alias("before"), x.alias("word"))), lambda p: (p["first"] == "RECORD") & (p["before"] == "KEY"))
     other = lambda p: p["zeroth"].eqNullSafe(F.lit("ALTERNATE"))
     kind, access = F.coalesce(_after(w, "ORGANIZATION"), F.lit("")), F.coalesce(_after(w, "ACCESS"), F.lit(""))
