@@ -150,12 +150,12 @@ def impact_3hop_starts(spark: SparkSession, d: str) -> DataFrame:
 
 def cascade_depth_all(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark, d)
-    return graph.depth_from_all(edges, nodes, "CASCADES_TO")
+    return graph.depth_from_all(edges, nodes, "CASCADES_TO", alone=True)
 
 
 def trigger_chain_depth(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark, d)
-    return graph.depth_from_all(edges, nodes, "TRIGGERS_TRIGGER")
+    return graph.depth_from_all(edges, nodes, "TRIGGERS_TRIGGER", alone=True)
 
 
 # ---------------------------------------------------------------- hashes, duplicates, redaction

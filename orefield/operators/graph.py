@@ -181,18 +181,23 @@ def _around_rings(steps: DataFrame, ring: DataFrame, known: DataFrame) -> DataFr
     return known.join(ring, ["kind", "id"], "left_anti").unionByName(far)
 
 
-def depths(edges: DataFrame, nodes: DataFrame, edge_types: Sequence[str]) -> DataFrame:
-    """(kind, id, depth) per edge type: levels of a breadth-first search from every node that has such an edge; destinations must be nodes."""
+def depths(edges: DataFrame, nodes: DataFrame, edge_types: Sequence[str], alone: bool = False) -> DataFrame:
+    """(kind, id, depth) per edge type: levels of a breadth-first search from every node that has such an edge; destinations must be nodes.
+
+    Nodes that reach nothing but themselves are left out, or come with depth 0 if ``alone``.
+    """
     steps = edges.where(F.col("type").isin(*edge_types)).select(F.col("type").alias("kind"), "src", "dst")
     steps = steps.join(nodes.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select("kind", "src", "dst")
     found = heights(steps)
-    alone = steps.where(F.col("src") == F.col("dst")).select("kind", F.col("src").alias("id")).distinct().join(found, ["kind", "id"], "left_anti")  # these reach themselves only
-    return found.unionByName(alone.withColumn("depth", F.lit(0).cast("bigint")))
+    if not alone:
+        return found
+    loops = steps.where(F.col("src") == F.col("dst")).select("kind", F.col("src").alias("id")).distinct().join(found, ["kind", "id"], "left_anti")
+    return found.unionByName(loops.withColumn("depth", F.lit(0).cast("bigint")))
 
 
-def depth_from_all(edges: DataFrame, nodes: DataFrame, edge_type: str) -> DataFrame:
+def depth_from_all(edges: DataFrame, nodes: DataFrame, edge_type: str, alone: bool = False) -> DataFrame:
     """(id, depth) along one edge type."""
-    return depths(edges, nodes, [edge_type]).select("id", "depth")
+    return depths(edges, nodes, [edge_type], alone).select("id", "depth")
 
 
 def resolved_chains(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -6,14 +6,14 @@ units that share it.  What was narrated before is left out by an anti-join on th
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orefield.functions.text import content_hash, redact
+from orefield.functions.text import REDACTIONS, content_hash, redact
 from orefield.plans.lineage import cut
 
 #: The reply of the deterministic narrator.
@@ -27,9 +27,14 @@ class Narrator(Protocol):
     def __call__(self, prompts: list[str]) -> list[str]: ...
 
 
-def gated(units: DataFrame, *more: str) -> DataFrame:
-    """(unit_id, kind, name, redacted, hash) and the columns asked for: the only form in which units reach a narrator."""
-    text = redact(F.col("source"))
+def gated(units: DataFrame, *more: str, patterns: Sequence[tuple[str, str]] = REDACTIONS) -> DataFrame:
+    """(unit_id, kind, name, redacted, hash) and the columns asked for: the only form in which units reach a narrator.
+
+    Without any pattern to redact by, nothing is let through.
+    """
+    if not patterns:
+        raise ValueError("units reach a narrator redacted only")
+    text = redact(F.col("source"), patterns)
     return units.where(F.coalesce("source", F.lit("")) != "").select("unit_id", "kind", "name", *more, text.alias("redacted")).withColumn("hash", content_hash(F.col("redacted")))
 
 

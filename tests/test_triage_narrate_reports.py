@@ -171,3 +171,5 @@ def test_totals(spark):
     made = M.gated(units)
     known = made.where("name = 'C'").select(F.col("hash").alias("content_hash"), F.lit(False).alias("stale"))
     assert tuple(M.totals(made, known, F.lit(7)).first()) == (1, 1, 7, 2, 1)
+    with pytest.raises(ValueError):
+        M.gated(units, patterns=())
