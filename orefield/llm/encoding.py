@@ -173,17 +173,16 @@ def token_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame
 def decode(encoded: DataFrame, id_: str = "doc_id", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """(id, text): the texts again.
 
-    Tokens are joined with the table of the bytes of each, which is broadcast (its size is that of the
-    vocabulary), and put together by position, first in runs of tokens, then per text.  Null or empty ids give
-    the empty text; ids that the vocabulary lacks are left out, bytes that are no UTF-8 become U+FFFD.
+    Ids, compact as they are, are shuffled once, by id and content; tokens are then joined with the table of
+    the bytes of each, which is broadcast (its size is that of the vocabulary), and put together by position
+    where they are.  Null or empty ids give the empty text; ids that the vocabulary lacks are left out, bytes
+    that are no UTF-8 become U+FFFD; repeated rows stay repeated.
     """
-    table = F.broadcast(token_table(encoded.sparkSession, vocabulary))
-    rows = encoded.select(F.col(id_).alias("id"), F.col(ids).alias("ids")).withColumn("content", F.xxhash64("ids"))
-    n_rows = rows.groupBy("id", "content").agg(F.count(F.lit(1)).alias("n"))
-    tokens = rows.dropDuplicates(["id", "content"]).select("id", "content", F.posexplode("ids").alias("at", "token")).join(table, "token")
-    join_up = lambda of: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", of))), lambda x: x[of]), "")
-    runs = tokens.withColumn("hex", F.hex("bytes")).groupBy("id", "content", F.floor(F.col("at") / 4096).cast("int").alias("run")).agg(join_up("hex").alias("hex"))
-    texts = runs.withColumnRenamed("run", "at").groupBy(F.col("id").alias("id_"), F.col("content").alias("content_")).agg(F.make_valid_utf8(F.unhex(join_up("hex")).cast("string")).alias("text"))
-    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("content") == F.col("content_"))
-    whole = n_rows.join(texts, same, "left").select("id", "n", F.coalesce("text", F.lit("")).alias("text"))
-    return whole.select(F.col("id").alias(id_), "text", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).drop("copy")
+    table = F.broadcast(token_table(encoded.sparkSession, vocabulary).withColumn("hex", F.hex("bytes")).drop("bytes"))
+    rows = encoded.select(F.col(id_).alias("id"), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("ids"))
+    once = rows.groupBy("id", F.xxhash64("ids").alias("content")).agg(F.first("ids").alias("ids"), F.count(F.lit(1)).alias("n"))
+    tokens = once.select("id", "content", "n", F.posexplode_outer("ids").alias("at", "token")).join(table, "token", "left")
+    texts = tokens.groupBy("id", "content", "n").agg(F.array_sort(F.collect_list(F.struct("at", "hex"))).alias("parts"))
+    text = F.make_valid_utf8(F.unhex(F.array_join(F.transform("parts", lambda x: x["hex"]), "")).cast("string"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")
+    return texts.select(F.col("id").alias(id_), text.alias("text"), copies).drop("copy")
