@@ -137,10 +137,15 @@ def _fiftieth(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint") % 50 == 0).select("id").distinct()
 
 
+def _raw_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges as they were delivered, some of them again: enough where only (src, dst) counts."""
+    return table(spark, d, "edges").where(F.col("type").isNotNull())
+
+
 def impact_2hop_starts(spark: SparkSession, d: str) -> DataFrame:
     """All that is within two steps of each of a fiftieth of all nodes, dangling ids included."""
-    nodes, edges = _graph(spark, d)
-    return graph.impact(edges, nodes, _fiftieth(nodes), 2)
+    nodes, edges = _nodes(spark, d), _raw_edges(spark, d)
+    return graph.impact_of_many(edges, nodes, _fiftieth(nodes), 2)
 
 
 def impact_3hop_starts(spark: SparkSession, d: str) -> DataFrame:

@@ -8,12 +8,19 @@ of all edges point to is thereby spread over several tasks.  Iterations are chec
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefield.functions.model import prop
 from orefield.plans.lineage import cut
+from orefield.plans.skew import heavy_keys
+
+HUB_STEPS = 1000  # a hub takes at least so many steps away, and a thousandth of all
+MOST_SENT = 200_000  # rows that are broadcast at most
+ROWS_A_TASK = 4_000_000
+SLICES = 64  # copies of the starts of hubs where they are too many to be broadcast
 
 
 def _ends(nodes: DataFrame, id_as: str, *columns: str) -> DataFrame:
@@ -112,6 +119,121 @@ def impact(edges: DataFrame, nodes: DataFrame, starts: DataFrame, hops: int = 2,
     return reach(steps, starts, hops).join(nodes.select("id", "type", "name"), "id", "left").select("start", "id", F.col("hop").cast("bigint").alias("hop"), "type", "name")
 
 
+def impact_of_many(edges: DataFrame, nodes: DataFrame, starts: DataFrame, hops: int = 2, dangling: bool = True, *, hub_steps: int = HUB_STEPS, most_sent: int = MOST_SENT) -> DataFrame:
+    """The rows of ``impact`` for starts by the thousand, whose pairs (start, id) may be too many to be shuffled or kept.
+
+    Nearly all pairs run through a few hubs (at most 1000, see ``heavy_keys``).  Those pairs are not made before the
+    result: an id keeps how far it is behind each hub, a hub which starts are how far from it, and each id meets the
+    starts of its hubs as it is written.  Only pairs with a way around the hubs are searched, gathered by id and told apart
+    from the others there.  Ids are shuffled as hashes, with a seed under which no two of them have the same.
+    """
+    edges, starts = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst"), starts.where(F.col("id").isNotNull()).select("id").distinct()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    seed, loose = _hashed(nodes.select("id"), ends.unionByName(starts))
+    v = lambda c: F.xxhash64(F.lit(seed), F.col(c))
+    steps = edges.select(v("src").alias("src"), v("dst").alias("dst")).where("src <> dst")
+    steps = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    if not dangling:
+        steps = steps.join(nodes.select(v("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    steps = cut(steps)
+    begun = cut(starts.select(F.monotonically_increasing_id().alias("s"), F.col("id").alias("start"), v("id").alias("v")))
+    hubs = heavy_keys(steps, "src", min_rows=hub_steps)
+    around, away = steps.where(~F.col("src").isin(hubs)), steps.where(F.col("src").isin(hubs))
+
+    # From starts to all ids (themselves with 0), and from hubs to all ids, with no hub between.
+    pairs = _walks([begun.select("s", "v")], around, hops, most_sent)
+    # Without a start that is a hub, a step to a hub is spent before one leads away from it.
+    left = hops if hubs and not begun.where(F.col("v").isin(hubs)).isEmpty() else hops - 1
+    at_hubs = away.select(F.col("src").alias("s"), F.col("src").alias("v")).distinct()
+    behind = _walks([at_hubs, cut(away.select(F.col("src").alias("s"), F.col("dst").alias("v")))], around, left, most_sent)
+    behind = cut(behind.groupBy(F.col("s").alias("h"), "v").agg(F.min("l").alias("d")).where("d > 0"))
+    before = cut(_before(pairs, behind, hubs, hops))
+
+    # Tasks by the number of rows of the result.
+    here = {(r["h"], r["d"]): r["count"] for r in before.groupBy("h", "d").count().collect()}
+    there = behind.where(~F.col("v").isin(hubs)).groupBy("h", "d").count().collect()
+    rows = sum(r["count"] * n for r in there for (h, d), n in here.items() if h == r["h"] and d + r["d"] <= hops)
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, rows // ROWS_A_TASK))
+
+    named = nodes.where(F.col("id").isNotNull()).select(v("id").alias("v"), "id", "type", "name")
+    if dangling:
+        named = named.unionByName(loose, allowMissingColumns=True)
+    by_id = lambda df: df.repartition(parts, "v")
+    near = by_id(pairs.where(~F.col("v").isin(hubs))).groupBy("v", "s").agg(F.min("l").alias("l")).groupBy("v").agg(F.collect_list(F.col("s") * (hops + 1) + F.col("l")).alias("near"))
+    refs = by_id(behind.where(~F.col("v").isin(hubs))).groupBy("v").agg(F.collect_list(F.struct("h", "d")).alias("refs"))
+    ids = by_id(named).join(refs, "v", "left").join(near, "v", "left").where("refs IS NOT NULL OR near IS NOT NULL")
+
+    of_start = before.groupBy("s").agg(F.collect_list(F.struct("h", F.col("d").alias("to"))).alias("hubs"))
+    who = cut(begun.select("s", "start").join(of_start, "s", "left"))
+    of_hub = before.withColumnRenamed("d", "to").join(who, "s")
+
+    # Pairs with a way around the hubs: one through a hub may be shorter.
+    code = hops + 1
+    through = F.array_min(F.flatten(F.transform("refs", lambda r: F.transform(F.filter("hubs", lambda x: x["h"] == r["h"]), lambda x: x["to"] + r["d"]))))
+    direct = ids.select("id", "type", "name", "refs", F.explode("near").alias("p")).select("id", "type", "name", "refs", F.expr(f"p div {code}").alias("s"), (F.col("p") % code).alias("l")).where("l > 0")
+    direct = direct.join(F.broadcast(who) if begun.count() <= most_sent else who, "s").select("start", "id", F.least("l", through).alias("hop"), "type", "name")
+
+    # All others: each id with the starts of its hubs.
+    apart = F.coalesce(F.transform("near", lambda p: F.call_function("div", p, F.lit(code))), F.array().cast("array<bigint>"))
+    met = ids.where("refs IS NOT NULL").select("id", "type", "name", "refs", apart.alias("near"), F.explode("refs").alias("r")).select("id", "type", "name", "refs", "near", "r.h", "r.d")
+    if before.count() <= most_sent:
+        met = met.join(F.broadcast(of_hub), "h")
+    else:
+        of_hub = of_hub.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+        met = met.withColumn("slice", F.pmod(F.hash("id"), F.lit(SLICES))).repartition(parts, "h", "slice").join(of_hub.repartition(parts, "h", "slice").hint("shuffle_hash"), ["h", "slice"])
+    hop, h = F.col("to") + F.col("d"), F.col("h")
+    met = met.where((hop <= hops) & ~F.array_contains("near", F.col("s")))
+    if len(hubs) > 1:
+        better = F.exists("refs", lambda r: F.exists("hubs", lambda x: (x["h"] == r["h"]) & ((x["to"] + r["d"] < hop) | ((x["to"] + r["d"] == hop) & (x["h"] < h)))))
+        met = met.where(~((F.size("refs") > 1) & (F.size("hubs") > 1) & better))
+    met = met.select("start", "id", hop.alias("hop"), "type", "name")
+
+    onto = before.where("d > 0").join(who, "s").join(named.where(F.col("v").isin(hubs)).withColumnRenamed("v", "h"), "h").select("start", "id", F.col("d").alias("hop"), "type", "name")
+    return direct.unionByName(met).unionByName(onto) if hubs else direct
+
+
+def _hashed(known: DataFrame, ids: DataFrame) -> tuple[int, DataFrame]:
+    """The first seed under which no two ids have the same hash, and (v, id) of the ids that are not known."""
+    rows = known.where(F.col("id").isNotNull()).withColumn("known", F.lit(True)).unionByName(ids.withColumn("known", F.lit(False)))
+    for seed in count():
+        by_hash = rows.groupBy(F.xxhash64(F.lit(seed), "id").alias("v")).agg(F.min("id").alias("id"), F.max("id").alias("other"), F.max("known").alias("known"))
+        odd = cut(by_hash.where("id <> other OR NOT known"))
+        if odd.where("id <> other").isEmpty():
+            return seed, odd.select("v", "id")
+    raise AssertionError
+
+
+def _walks(found: list[DataFrame], steps: DataFrame, hops: int, most_sent: int) -> DataFrame:
+    """(s, v, l): ends of walks of l steps, at most ``hops``, going on from ``found`` = ends after 0, 1, ... steps; every end comes with its least l, and of the last step again with others."""
+    found = [df.withColumn("l", F.lit(k).cast("bigint")) for k, df in enumerate(found)]
+    while len(found) <= hops:
+        k, front = len(found), found[-1].select("s", F.col("v").alias("src"))
+        if k > 1 and front.count() <= most_sent:
+            front = F.broadcast(front)
+        new = steps.join(front, "src").select("s", F.col("dst").alias("v"))
+        if k < hops:
+            for df in found:
+                new = new.join(df.select("s", "v"), ["s", "v"], "left_anti")
+            new = cut(new.distinct())
+        found.append(new.withColumn("l", F.lit(k).cast("bigint")))
+    rows = found[0]
+    for df in found[1 : hops + 1]:
+        rows = rows.unionByName(df)
+    return rows
+
+
+def _before(pairs: DataFrame, behind: DataFrame, hubs: list, hops: int) -> DataFrame:
+    """(h, s, d): the distance of each start to each hub, over other hubs too."""
+    least = lambda df: df.groupBy("h", "s").agg(F.min("d").alias("d"))
+    known = least(pairs.where(F.col("v").isin(hubs)).select(F.col("v").alias("h"), "s", F.col("l").alias("d")))
+    if len(hubs) > 1:
+        between = behind.where(F.col("v").isin(hubs)).select("h", F.col("v").alias("next"), F.col("d").alias("more"))
+        for _ in range(hops):
+            on = known.join(between, "h").select(F.col("next").alias("h"), "s", (F.col("d") + F.col("more")).alias("d")).where(F.col("d") <= hops)
+            known = cut(least(known.unionByName(on)))
+    return known
+
+
 def closure(steps: DataFrame) -> DataFrame:
     """(start, id, hop): all that each node reaches over (src, dst), with the least number of steps; a node does not reach itself.
 

@@ -85,6 +85,55 @@ def test_impact_of_many_starts_equals_sql(spark):
         assert rows(got) == sorted(con.execute(entry.oracle_sql()[name]).fetchall(), key=str)
 
 
+def test_impact_of_many_equals_brute_force_around_hubs(spark):
+    rnd = random.Random(7)
+    ids = [f"n{i}" for i in range(60)]
+    pairs = [(rnd.choice(ids), rnd.choice(ids)) for _ in range(50)]
+    pairs += [(h, rnd.choice(ids)) for h in ("n0", "n1", "n2") for _ in range(9)] + [("n0", "n1"), ("n5", "n5"), ("n6", "gone"), ("n0", "lost"), ("gone", "lost"), ("n6", "gone")]
+    nodes, edges = make(spark, ids, [(*p, "CALLS") for p in pairs])
+    edges = edges.unionByName(spark.createDataFrame([("n3", None, "CALLS", None)], E))
+    both = pairs + [(b, a) for a, b in pairs]
+    for hops, dangling, hub_steps, sent in ((2, True, 10, 100), (3, False, 8, 0), (3, True, 6, 100), (3, True, 1000, 0), (1, True, 8, 100), (4, True, 8, 100)):
+        known = both if dangling else [p for p in both if p[1] in ids]
+        starts = ids[:40:2] + ["n1"]
+        asked = spark.createDataFrame([(i,) for i in [*starts, "n4", "alone", None]], "id string")
+        got = G.impact_of_many(edges, nodes, asked, hops, dangling, hub_steps=hub_steps, most_sent=sent)
+        assert dict(got.dtypes)["hop"] == "bigint"
+        want = [(s, k, v, "Program" if k in ids else None, k.upper() if k in ids else None) for s in starts for k, v in bfs(known, s, hops).items()]
+        assert rows(got) == sorted(want, key=str), (hops, dangling, hub_steps, sent)
+
+
+def _wheel(spark, folder, n):
+    """n nodes around one hub, each with a neighbour."""
+    import datetime
+
+    nodes = spark.range(n + 1).select("id").selectExpr("'Program:cb:NODE' || id AS id", "'Program' AS type", "'N' || id AS name", "'cb' AS codebase_id", "'' AS content_hash", "1.0D AS parse_confidence", "'' AS properties")
+    nodes.where("name <> 'N0'").write.parquet(f"{folder}/nodes.parquet")
+    nodes.where("name = 'N0'").write.parquet(f"{folder}/platform_nodes.parquet")
+    edges = spark.range(1, n + 1).selectExpr("'Program:cb:NODE' || id AS src", f"explode(array('Program:cb:NODE0', 'Program:cb:NODE' || (id % {n} + 1))) AS dst", "'CALLS' AS type", "'' AS properties")
+    edges.crossJoin(spark.createDataFrame([(datetime.datetime(2026, 1, 1),)], "created_at timestamp_ntz")).write.parquet(f"{folder}/edges.parquet")
+
+
+def _kept_by(spark, name, folder):
+    """(rows, bytes in the checkpoint folder) of a query on a folder."""
+    from pathlib import Path
+
+    import __spark_entry__ as entry
+    from orefield.plans.lineage import cut
+
+    cut(spark.range(1))
+    kept = lambda: sum(p.stat().st_size for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("*") if p.is_file())
+    before = kept()
+    n = entry.queries()[name](spark, str(folder)).count()
+    return n, kept() - before
+
+
+def test_impact_2hop_starts_keeps_no_pairs_of_a_hub(spark, tmp_path):
+    _wheel(spark, tmp_path, 6000)
+    n, kept = _kept_by(spark, "impact_2hop_starts", tmp_path)
+    assert n > 600_000 and kept < 3_000_000
+
+
 def test_heights_equal_a_search_from_every_node(spark):
     import random
 
