@@ -149,8 +149,8 @@ def impact_2hop_starts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def impact_3hop_starts(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _graph(spark, d)
-    return graph.impact(edges, nodes, _fiftieth(nodes), 3, dangling=False)
+    nodes, edges = _nodes(spark, d), _raw_edges(spark, d)
+    return graph.impact_of_many(edges, nodes, _fiftieth(nodes), 3, dangling=False)
 
 
 def cascade_depth_all(spark: SparkSession, d: str) -> DataFrame:

@@ -165,7 +165,7 @@ def impact_of_many(edges: DataFrame, nodes: DataFrame, starts: DataFrame, hops:
 
     of_start = before.groupBy("s").agg(F.collect_list(F.struct("h", F.col("d").alias("to"))).alias("hubs"))
     who = cut(begun.select("s", "start").join(of_start, "s", "left"))
-    of_hub = before.withColumnRenamed("d", "to").join(who, "s")
+    of_hub = before.where(F.col("d") < hops).withColumnRenamed("d", "to").join(who, "s")
 
     # Pairs with a way around the hubs: one through a hub may be shorter.
     code = hops + 1
@@ -176,13 +176,14 @@ def impact_of_many(edges: DataFrame, nodes: DataFrame, starts: DataFrame, hops:
     # All others: each id with the starts of its hubs.
     apart = F.coalesce(F.transform("near", lambda p: F.call_function("div", p, F.lit(code))), F.array().cast("array<bigint>"))
     met = ids.where("refs IS NOT NULL").select("id", "type", "name", "refs", apart.alias("near"), F.explode("refs").alias("r")).select("id", "type", "name", "refs", "near", "r.h", "r.d")
+    met = met.withColumn("to", F.explode(F.sequence(F.lit(0).cast("bigint"), hops - F.col("d"))))
     if before.count() <= most_sent:
-        met = met.join(F.broadcast(of_hub), "h")
+        met = met.join(F.broadcast(of_hub), ["h", "to"])
     else:
         of_hub = of_hub.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-        met = met.withColumn("slice", F.pmod(F.hash("id"), F.lit(SLICES))).repartition(parts, "h", "slice").join(of_hub.repartition(parts, "h", "slice").hint("shuffle_hash"), ["h", "slice"])
+        met = met.withColumn("slice", F.pmod(F.hash("id"), F.lit(SLICES))).repartition(parts, "h", "to", "slice").join(of_hub.repartition(parts, "h", "to", "slice").hint("shuffle_hash"), ["h", "to", "slice"])
     hop, h = F.col("to") + F.col("d"), F.col("h")
-    met = met.where((hop <= hops) & ~F.array_contains("near", F.col("s")))
+    met = met.where(~F.array_contains("near", F.col("s")))
     if len(hubs) > 1:
         better = F.exists("refs", lambda r: F.exists("hubs", lambda x: (x["h"] == r["h"]) & ((x["to"] + r["d"] < hop) | ((x["to"] + r["d"] == hop) & (x["h"] < h)))))
         met = met.where(~((F.size("refs") > 1) & (F.size("hubs") > 1) & better))

@@ -134,6 +134,12 @@ def test_impact_2hop_starts_keeps_no_pairs_of_a_hub(spark, tmp_path):
     assert n > 600_000 and kept < 3_000_000
 
 
+def test_impact_3hop_starts_keeps_no_pairs_of_a_hub(spark, tmp_path):
+    _wheel(spark, tmp_path, 6000)
+    n, kept = _kept_by(spark, "impact_3hop_starts", tmp_path)
+    assert n > 600_000 and kept < 3_000_000
+
+
 def test_heights_equal_a_search_from_every_node(spark):
     import random
 
